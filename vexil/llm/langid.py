@@ -192,6 +192,31 @@ def identify_language(docs: DataFrame, filters: LanguageFilters | None, id_col:
     )
 
 
+def keep_identified(
+    docs: DataFrame, filters: LanguageFilters | None, text_col: str = "text", least: float = 0.05
+) -> DataFrame:
+    """The rows, unchanged, whose text is in a language the filters know: not ``und``, and of its n-grams
+    at least the share ``least`` (corrected for false positives) in the best language's filter.
+
+    Without filters every row stays.
+    """
+    if filters is None:
+        return docs
+    shipped = docs.sparkSession.sparkContext.broadcast(filters)
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(column)
+            keep = np.zeros(len(texts), bool)
+            for i, j, raw, off in _text.runs(texts):
+                best = shipped.value.scores(raw, off).max(axis=1)
+                keep[i:j] = (best >= least) & _has_letter(texts.slice(i, j - i), raw, off)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     """Learn where crc32(id) mod 4 is not 2, predict everywhere."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

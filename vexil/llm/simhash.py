@@ -211,6 +211,20 @@ def simhash_components(
     )
 
 
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, unchanged, of one document (that with the smallest id) of each component.
+
+    Of rows with the same id one stays; rows without an id stay.
+    """
+    from pyspark.sql import Window
+
+    kept = simhash_components(docs, id_col, text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+    here = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+    order = Window.partitionBy(id_col).orderBy(id_col)
+    one = here.withColumn("__copy", F.row_number().over(order)).where("__copy = 1").drop("__copy")
+    return one.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
