@@ -123,12 +123,9 @@ def hnsw_search(corpus: DataFrame, queries: DataFrame, k: int, metric: Metric =
     dealt = corpus.select(
         F.pmod(F.xxhash64("slot"), F.lit(parts)).cast("int").alias("part"), "slot", "id", F.col("vector").cast("array<double>").alias("vector"), F.col(allowed).alias("ok") if allowed else F.lit(True).alias("ok")
     )
-    hits = None
-    for qids, q in query_blocks(queries):
-        q = unit_rows(q) if metric == Metric.COSINE else q
-        shipped = corpus.sparkSession.sparkContext.broadcast((qids, q))
 
-        def run(key: tuple, rows: pa.Table, shipped=shipped) -> pa.Table:
+    def searcher(shipped):
+        def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
             qids, q = shipped.value
             order = np.argsort(rows.column("slot").to_numpy(), kind="stable")
             x = as_matrix(rows.column("vector"), q.shape[1])[order]
@@ -138,9 +135,16 @@ def hnsw_search(corpus: DataFrame, queries: DataFrame, k: int, metric: Metric =
             graph = Graph(x, m, ef_construction, seed, metric == Metric.INNER_PRODUCT)
             half = 0.5 if metric == Metric.COSINE else 1.0
             out = [(int(qid), int(slot[i]), int(ident[i]), d * half) for qid, v in zip(qids, q) for d, i in graph.search(v, k, ef_search, None if ok.all() else ok)]
-            return pa.table({n: pa.array([o[j] for o in out], kind) for j, (n, kind) in enumerate([("qid", pa.int64()), ("slot", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])})
+            kinds = [("qid", pa.int64()), ("slot", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())]
+            return pa.table({n: pa.array([o[j] for o in out], kind) for j, (n, kind) in enumerate(kinds)})
+
+        return run
 
-        part = dealt.groupBy("part").applyInArrow(run, "qid long, slot long, id long, distance double")
+    hits = None
+    for qids, q in query_blocks(queries):
+        q = unit_rows(q) if metric == Metric.COSINE else q
+        shipped = corpus.sparkSession.sparkContext.broadcast((qids, q))
+        part = dealt.groupBy("part").applyInArrow(searcher(shipped), "qid long, slot long, id long, distance double")
         hits = part if hits is None else hits.unionByName(part)
     return top_k(hits, k)
 
