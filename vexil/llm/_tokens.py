@@ -11,7 +11,10 @@ from __future__ import annotations
 import numpy as np
 
 #: Words whose ids an executor's Python worker remembers; twice as many at most.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+
+#: Punctuation that, after a letter or number, such a tokenizer encodes apart.
+TAIL = b".,!?;:*%$&#|"
 
 
 class WordEncoder:
@@ -27,6 +30,7 @@ class WordEncoder:
         if any(self._ids(f"Ab{s}c.") != one for s in " \t\n\r\x0b\x0c"):
             raise ValueError("a table of words needs a tokenizer that drops white space")
         self.lower = self._ids("Ab") == self._ids("aB")
+        self.tails = all(self._ids(w + p) == self._ids(w) + self._ids(p) for w in ("ab", "a1", "é") for p in (".", ",%", "***"))
         added = self.tokenizer.get_added_tokens_decoder()
         #: strings that the tokenizer looks for in the raw text; words that may hold one are left as they are
         self.marks = sorted({t.content[:2].encode() for t in added.values()})
@@ -44,25 +48,45 @@ class WordEncoder:
             return [w if any(m in w for m in self.marks) else w.lower() for w in text.split()]
         return text.lower().split()
 
+    def cut(self, word: bytes) -> tuple[bytes, bytes]:
+        """The word without the punctuation at its end, and that, where they can be encoded apart."""
+        core = word.rstrip(TAIL)
+        if not self.tails or not core or len(core) == len(word) or any(m in word for m in self.marks):
+            return word, b""
+        last = core[-1:].decode() if core[-1] < 128 else core[-4:].decode("utf-8", "ignore")[-1:]
+        return (core, word[len(core) :]) if last.isalnum() else (word, b"")
+
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word, as uint32. Many words are encoded as one text, a special token between them."""
-        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
-        alone = [i for i, w in enumerate(words) if any(m in w for m in self.marks)] if self.between else range(len(words))
-        odd = set(alone)
-        for i in alone:
-            out[i] = np.array(self._ids(words[i].decode("utf-8", "replace")), np.uint32)
+        return [np.frombuffer(b, "<u4") for b in self.encode_bytes(words)]
+
+    def encode_bytes(self, words: list[bytes]) -> list[bytes]:
+        """The same as little-endian bytes."""
+        out: list[bytes] = [b""] * len(words)
         if self.between:
+            odd = [i for i, w in enumerate(words) if any(m in w for m in self.marks)]
+        else:
+            odd = list(range(len(words)))
+        for i in odd:
+            out[i] = np.array(self._ids(words[i].decode("utf-8", "replace")), "<u4").tobytes()
+        if self.between and len(odd) < len(words):
             mark, string = self.between
-            plain = [i for i in range(len(words)) if i not in odd]
+            plain = words if not odd else [w for i, w in enumerate(words) if i not in set(odd)]
+            separator = string.encode()
+            found: list[bytes] = []
             for k in range(0, len(plain), 2000):
-                part = plain[k : k + 2000]
-                text = string.join(words[i].decode("utf-8", "replace") for i in part)
-                ids = np.array(self._ids(text), np.uint32)
-                cuts = np.flatnonzero(ids == mark)
-                start = 0
-                for i, end in zip(part, [*cuts.tolist(), len(ids)]):
-                    out[i] = ids[start:end]
-                    start = end + 1
+                text = separator.join(plain[k : k + 2000]).decode("utf-8", "replace")
+                ids = np.array(self._ids(text), "<u4")
+                cuts = (np.flatnonzero(ids == mark) * 4).tolist()
+                raw = ids.tobytes()
+                found += [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]
+            if not odd:
+                return found
+            rest = iter(found)
+            skip = set(odd)
+            for i in range(len(words)):
+                if i not in skip:
+                    out[i] = next(rest)
         return out
 
 
@@ -73,20 +97,21 @@ class Remembering:
         self.encoder, self.now, self.before = encoder, {}, {}
 
     def ids(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.now.__getitem__, words))
-        except KeyError:
-            pass
         now, before = self.now, self.before
         new = []
-        for w in set(words):
-            if w not in now:
-                if w in before:
-                    now[w] = before[w]
-                else:
-                    new.append(w)
-        for w, ids in zip(new, self.encoder.encode(new)):
-            now[w] = ids.astype("<u4").tobytes()
+        for w in set(words).difference(now):
+            if w in before:
+                now[w] = before[w]
+            else:
+                new.append(w)
+        cuts = [self.encoder.cut(w) for w in new]
+        parts = [p for p in {p for c in cuts for p in c if p} if p not in now]
+        for p in parts:
+            if p in before:
+                now[p] = before[p]
+        parts = [p for p in parts if p not in now]
+        now.update(zip(parts, self.encoder.encode_bytes(parts)))
+        now.update((w, now[core] + now[tail]) for w, (core, tail) in zip(new, cuts) if tail)
         out = b"".join(map(now.__getitem__, words))
         if len(now) > REMEMBERED:
             self.before, self.now = now, {}

@@ -1,9 +1,11 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Documents are dealt into blocks of about ``block_mb`` MB of text by a hash of
-their content.  Each block gives its distinct words; these meet by word, where
-each distinct word of the corpus is encoded once, and the ids go back to the
-blocks that asked.  In its block a document is its words' ids by position.
+their content.  Each block gives its distinct words; these meet by a hash of the
+word, where each distinct word of the corpus is encoded once, and the ids go
+back to the blocks that asked.  In its block a document is its words' ids by
+position.  What is shuffled (texts, words, ids) travels as compressed fragments
+of a task's output for one receiver.
 Decoding is a lookup of each id in the table of the vocabulary's pieces (its
 size is the tokenizer's, whatever the corpus); word by word, since a word's
 pieces never change.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,83 +33,140 @@ from pyspark.sql import functions as F
 from vexil.llm._tokens import remembering
 
 
-def _distinct_words(path: str):
-    def run(key: tuple, docs: pa.Table) -> pa.Table:
-        split = remembering(path).encoder.split_words
-        seen: set[bytes] = set()
-        for chunk in docs.column("text").chunks:
-            for text in chunk.cast(pa.large_binary()):
-                seen.update(split(text.as_buffer().to_pybytes()))
-        words = sorted(seen)
-        return pa.table({"block": pa.array(np.full(len(words), key[0].as_py(), np.int32)), "word": pa.array(words, pa.binary())})
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, doc_id, text) to (block, blob): the rows of a batch for one block, as compressed Arrow."""
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        rows = batch.select([1, 2]).take(pa.array(order))
+        which, starts = np.unique(blocks[order], return_index=True)
+        blobs = []
+        for start, end in zip(starts, [*starts[1:], len(blocks)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                # take, not slice: a slice would carry its neighbours' bytes
+                out.write_batch(rows.take(pa.array(np.arange(start, end))))
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(blobs, pa.binary())], ["block", "blob"])
+
+
+def _documents(blobs: pa.ChunkedArray) -> Iterator[tuple[int | None, bytes]]:
+    for blob in blobs:
+        with pa.ipc.open_stream(blob.as_buffer()) as rows:
+            for batch in rows:
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+                    yield name, text.as_buffer().to_pybytes()
+
+
+def _by_part(split, blobs: pa.ChunkedArray, parts: int) -> list[list[bytes]]:
+    """The distinct words of a block's documents, sorted, by the hash that tells where they are encoded."""
+    seen: set[bytes] = set()
+    for _, text in _documents(blobs):
+        seen.update(split(text))
+    out: list[list[bytes]] = [[] for _ in range(parts)]
+    for word in sorted(seen):
+        out[zlib.crc32(word) % parts].append(word)
+    return out
+
+
+def _distinct_words(path: str, parts: int):
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+        found = _by_part(remembering(path).encoder.split_words, docs.column("blob"), parts)
+        some = [p for p in range(parts) if found[p]]
+        return pa.table(
+            {
+                "block": pa.array(np.full(len(some), key[0].as_py(), np.int32)),
+                "part": pa.array(some, pa.int32()),
+                "words": pa.array([_packed(b"\n".join(found[p])) for p in some], pa.binary()),
+            }
+        )
 
     return run
 
 
-def _encode_runs(path: str):
-    """Rows sorted by word: each distinct word is encoded once, each row gets its word's ids."""
+def _encode_part(path: str):
+    """All words of one part: each distinct one is encoded once, and every block gets the ids of those it asked for."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = remembering(path).encoder
-        last_word, last_ids = None, b""
-        for batch in batches:
-            words = batch.column(1).to_pylist()
-            new = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last_word)]
-            found = iter(ids.astype("<u4").tobytes() for ids in encoder.encode(new))
-            out = []
-            for w in words:
-                if w != last_word:
-                    last_word, last_ids = w, next(found)
-                out.append(last_ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "word", "ids"])
+    def run(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
+        lists = [_unpacked(w.as_buffer().to_pybytes()).split(b"\n") for w in asked.column("words")]
+        distinct = sorted(set().union(*lists))
+        table = dict(zip(distinct, remembering(path).encoder.encode(distinct)))
+        answers = []
+        for words in lists:
+            ids = list(map(table.__getitem__, words))
+            sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            # bytes of like weight together compress best
+            planes = lambda x: x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            answers.append(_packed(len(sizes).to_bytes(8, "little") + planes(sizes) + planes(flat)))
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "answer": pa.array(answers, pa.binary())})
 
     return run
 
 
+def _answer(blob: bytes) -> list[np.ndarray]:
+    data = _unpacked(blob)
+    n = int.from_bytes(data[:8], "little")
+    joined = lambda b: np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    sizes, flat = joined(data[8 : 8 + 4 * n]), joined(data[8 + 4 * n :])
+    return np.split(flat, np.cumsum(sizes.astype(np.int64))[:-1])
+
+
 def pieces(path: str) -> list[bytes]:
     """The string of every id, in the order of the ids."""
     tokenizer = remembering(path).encoder.tokenizer
     return [(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size(True))]
 
 
-def _assemble(path: str, digest: bool):
-    def run(key: tuple, docs: pa.Table, table: pa.Table) -> pa.Table:
+def _assemble(path: str, digest: bool, parts: int):
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, table: pa.Table) -> pa.Table:
         encoder = remembering(path).encoder
         if encoder.tokenizer.decoder is not None:
             raise ValueError("decoding word by word needs a tokenizer whose decoding joins pieces by a blank")
-        piece = pieces(path)
+        piece, number = pieces(path), [b"%d" % i for i in range(len(pieces(path)))]
+        asked = _by_part(encoder.split_words, docs.column("blob"), parts)
         numbers: dict[bytes, bytes] = {}
         texts: dict[bytes, bytes] = {}
-        raw: dict[bytes, bytes] = {}
+        raw: dict[bytes, np.ndarray] = {}
         empty = False
-        for word, ids in zip(table.column("word").to_pylist(), table.column("ids").to_pylist()):
-            at = np.frombuffer(ids, "<u4").tolist()
-            empty |= not at
-            if digest:
-                numbers[word] = b" ".join([b"%d" % i for i in at])
-            raw[word] = ids
-            texts[word] = b" ".join([piece[i] for i in at])
-        out_n, out_ids, out_text = [], [], []
-        for chunk in docs.column("text").chunks:
-            for text in chunk.cast(pa.large_binary()):
-                words = encoder.split_words(text.as_buffer().to_pybytes())
-                if empty:
-                    words = [w for w in words if raw[w]]
-                decoded = b" ".join(map(texts.__getitem__, words))
+        for part, blob in zip(table.column("part").to_pylist(), table.column("answer")):
+            for word, ids in zip(asked[part], _answer(blob.as_buffer().to_pybytes())):
+                at = ids.tolist()
+                empty |= not at
                 if digest:
-                    spelled = b" ".join(map(numbers.__getitem__, words))
-                    out_n.append(spelled.count(b" ") + 1 if spelled else 0)
-                    out_ids.append(hashlib.sha256(spelled).hexdigest())
-                    out_text.append(hashlib.sha256(decoded).hexdigest())
+                    numbers[word] = b" ".join([number[i] for i in at])
                 else:
-                    ids = np.frombuffer(b"".join(map(raw.__getitem__, words)), "<u4").astype(np.int32)
-                    out_n.append(len(ids))
-                    out_ids.append(ids)
-                    out_text.append(decoded.decode())
+                    raw[word] = ids
+                texts[word] = b" ".join([piece[i] for i in at])
+        names_, out_n, out_ids, out_text = [], [], [], []
+        for name, text in _documents(docs.column("blob")):
+            words = encoder.split_words(text)
+            if empty:
+                words = [w for w in words if texts[w]]
+            decoded = b" ".join(map(texts.__getitem__, words))
+            names_.append(name)
+            if digest:
+                spelled = b" ".join(map(numbers.__getitem__, words))
+                out_n.append(spelled.count(b" ") + 1 if spelled else 0)
+                out_ids.append(hashlib.sha256(spelled).hexdigest())
+                out_text.append(hashlib.sha256(decoded).hexdigest())
+            else:
+                ids = np.concatenate([np.zeros(0, np.uint32), *map(raw.__getitem__, words)]).astype(np.int32)
+                out_n.append(len(ids))
+                out_ids.append(ids)
+                out_text.append(decoded.decode())
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "n_tokens", "ids", "decoded"]
         kinds = [pa.int64(), pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string()]
-        columns = [docs.column("doc_id"), out_n, out_ids, out_text]
-        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        columns = [names_, out_n, out_ids, out_text]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return run
 
@@ -118,12 +178,14 @@ def encode_documents(
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / (block_mb << 20)))
-    dealt = whole.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    asked = dealt.groupBy("block").applyInArrow(_distinct_words(tokenizer_path), "block int, word binary")
-    answered = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_runs(tokenizer_path), "block int, word binary, ids binary")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    packed = whole.select(block.alias("block"), "doc_id", "text").mapInArrow(_fragments, "block int, blob binary")
+    dealt = packed.repartition(blocks, "block")
+    asked = dealt.groupBy("block").applyInArrow(_distinct_words(tokenizer_path, blocks), "block int, part int, words binary")
+    answered = asked.groupBy("part").applyInArrow(_encode_part(tokenizer_path), "block int, part int, answer binary")
     kinds = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
-        _assemble(tokenizer_path, digest), f"doc_id long, n_tokens long, {kinds}"
+        _assemble(tokenizer_path, digest, blocks), f"doc_id long, n_tokens long, {kinds}"
     )
 
 
