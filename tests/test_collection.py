@@ -52,8 +52,8 @@ def test_store(spark, tmp_path):
     assert Store.open(spark, str(tmp_path / "s")).collection.size == 6
     with pytest.raises(ValueError):
         Store.persist(c, str(tmp_path / "s"))
-    save(c, str(tmp_path / "t"))
-    assert load(spark, str(tmp_path / "t")).size == c.size
+    save(again.collection, str(tmp_path / "t"))
+    assert load(spark, str(tmp_path / "t")).size == 6
     (tmp_path / "t" / "MANIFEST.json").write_text("{")
     with pytest.raises(RuntimeError):
         load(spark, str(tmp_path / "t"))

@@ -92,7 +92,11 @@ def load(spark: SparkSession, path: str, mapped: bool = True) -> Collection:
 
 
 class Store:
-    """A collection whose writes are logged before they count."""
+    """A collection whose writes are logged before they count.
+
+    One handle at a time: a checkpoint deletes the files of the generation before, which
+    snapshots taken through another handle still read.
+    """
 
     def __init__(self, collection: Collection, folder: Folder, generation: int, sequence: int = 0):
         self.collection, self.folder, self.generation, self.sequence, self.failed = collection, folder, generation, sequence, False
