@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +48,12 @@ class Folder:
     def read(self, name: str) -> dict:
         for n in (name, name + ".tmp"):  # the rename may have been cut off after the old file went
             if self.exists(n):
-                stream = self.fs.open(self._p(n))
-                text = bytes(stream.readAllBytes()).decode()
-                stream.close()
                 try:
+                    stream = self.fs.open(self._p(n))
+                    text = bytes(stream.readAllBytes()).decode()
+                    stream.close()
                     return json.loads(text)
-                except ValueError as e:
+                except (ValueError, Py4JJavaError) as e:  # no JSON, or the file system's checksum doesn't match
                     raise RuntimeError(f"{n} is damaged") from e
         raise RuntimeError(f"no {name} in {self.path}")
 
