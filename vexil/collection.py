@@ -43,6 +43,20 @@ def _typed(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Rows whose numbers must not change: in the checkpoint folder if the cluster names one, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+
+
+def _starts(df: DataFrame, part: str) -> tuple[DataFrame, int]:
+    """(__part, __start): how many rows lie in the partitions before; and the number of all rows. One row per partition."""
+    starts, at = [], 0
+    for p, n in sorted(df.groupBy(part).count().collect()):
+        starts.append((p, at))
+        at += n
+    return df.sparkSession.createDataFrame(starts or [(0, 0)], "__part int, __start long"), at
+
+
 class Collection:
     def __init__(self, spark: SparkSession, dim: int | None = None, metric: Metric = Metric.L2, custom_ids: bool = False, sparse: bool = False):
         self.spark, self.dim, self.metric, self.custom_ids, self.sparse = spark, dim, Metric(metric), custom_ids, sparse
@@ -121,9 +135,11 @@ class Collection:
                         df = df.withColumn(n, F.col(n).cast("double"))
                     else:
                         require(new == old, f"{n} is {old.simpleString()}")
-            order = Window.orderBy("__at")  # numbering needs one order over the batch that is added
-            numbered = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__n", F.row_number().over(order) - 1)
-            numbered = numbered.withColumn("slot", F.col("__n").cast("long") + state.next_slot)
+            # the id is the partition above 33 bits of the place in it: with the partitions' starts it gives the row's number
+            placed = _kept(df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33).cast("int")))
+            starts, n = _starts(placed, "__part")
+            place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+            numbered = placed.join(F.broadcast(starts), "__part").withColumn("__n", F.col("__start") + place).withColumn("slot", F.col("__n") + state.next_slot)
             if self.custom_ids:
                 require("id" in df.columns, "ids are missing")
                 require(isinstance(df.schema["id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)), "ids are whole numbers", TypeError)
@@ -132,9 +148,8 @@ class Collection:
                 require(not bad and not numbered.join(state.rows, "id", "left_semi").limit(1).count(), "ids are repeated, negative or in use")
             else:
                 require("id" not in df.columns, "this collection gives the ids itself")
-                numbered = numbered.withColumn("id", F.col("__n").cast("long") + state.next_id)
-            fresh = numbered.drop("__at", "__n").cache()
-            n = fresh.count()
+                numbered = numbered.withColumn("id", F.col("__n") + state.next_id)
+            fresh = numbered.drop("__at", "__n", "__part", "__start")
             if not n:
                 return fresh.select("id")
             top = fresh.agg(F.max("id")).first()[0]
@@ -162,13 +177,8 @@ class Collection:
         """
         with self._lock:
             state = self._state
-            ranged = state.rows.repartitionByRange("slot").withColumn("__part", F.spark_partition_id()).cache()
-            sizes = sorted(ranged.groupBy("__part").count().collect())  # one row per partition
-            starts, at = {}, 0
-            for part, n in sizes:
-                starts[part] = at
-                at += n
-            lookup = self.spark.createDataFrame(list(starts.items()) or [(0, 0)], "__part int, __start long")
+            ranged = _kept(state.rows.repartitionByRange("slot").withColumn("__part", F.spark_partition_id()))
+            lookup, at = _starts(ranged, "__part")
             inner = F.row_number().over(Window.partitionBy("__part").orderBy("slot"))
             rows = ranged.withColumn("__n", inner).join(F.broadcast(lookup), "__part").withColumn("slot", F.col("__start") + F.col("__n") - 1)
             freed = state.next_slot - at

@@ -40,12 +40,18 @@ def _asked(corpus: DataFrame) -> DataFrame:
     return corpus.where("id % 100 = 0").select(F.col("id").alias("qid"), "vector")
 
 
+def _six(c: Column) -> Column:
+    """Six decimals, as SQL engines round doubles: by the nearest multiple in binary, not by the decimal spelling."""
+    near = F.signum(c) * F.floor(F.abs(c) * F.lit(1e6) + F.lit(0.5)).cast("double") / F.lit(1e6)
+    return F.when(F.abs(c) < F.lit(1e9), near).otherwise(F.round(c, 6)) + F.lit(0.0)
+
+
 def _hits(df: DataFrame, value: str = "distance") -> DataFrame:
-    return df.select("qid", F.col("rank").cast("int").alias("rank"), "id", (F.round(value, 6) + F.lit(0.0)).alias(value))
+    return df.select("qid", F.col("rank").cast("int").alias("rank"), "id", _six(F.col(value)).alias(value))
 
 
 def _r(name: str, c: Column) -> Column:
-    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+    return _six(c).alias(name)
 
 
 # --- SQL that the oracles share
