@@ -7,6 +7,7 @@ new DataFrame after all its checks, so a failed write changes nothing.
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -63,6 +64,9 @@ class Collection:
         fields = "slot long, id long" + (", vector array<float>" if dim else "") + (", terms array<struct<term:bigint,weight:double>>" if sparse else "")
         self._state = State(spark.createDataFrame([], fields))
         self._lock = threading.Lock()
+        # what an index over these rows adds: derived columns of new rows, and its own description in a snapshot
+        self.encode: Callable[[DataFrame], DataFrame] | None = None
+        self.describe: Callable[[str], dict] | None = None
 
     # --- what is there
 
@@ -136,7 +140,8 @@ class Collection:
                     else:
                         require(new == old, f"{n} is {old.simpleString()}")
             # the id is the partition above 33 bits of the place in it: with the partitions' starts it gives the row's number
-            placed = _kept(df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33).cast("int")))
+            placed = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33).cast("int"))
+            placed = _kept(self.encode(placed) if self.encode else placed)
             starts, n = _starts(placed, "__part")
             place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
             numbered = placed.join(F.broadcast(starts), "__part").withColumn("__n", F.col("__start") + place).withColumn("slot", F.col("__n") + state.next_slot)

@@ -9,6 +9,7 @@ Folders are reached through Hadoop's file systems, so any that Spark reads will
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,7 @@ def _snapshot(collection: Collection, folder: Folder, generation: int) -> None:
     folder.write("MANIFEST.json", {
         "format": FORMAT, "kind": "collection", "generation": generation, "dim": collection.dim, "metric": collection.metric.value, "custom_ids": collection.custom_ids,
         "sparse": collection.sparse, "next_slot": state.next_slot, "next_id": state.next_id, "metadata": list(state.metadata),
+        "index": collection.describe(folder.path) if collection.describe else None,
     })
 
 
@@ -110,9 +112,12 @@ class Store:
         return cls(collection, folder, 1)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, mapped: bool = True) -> Store:
+    def open(cls, spark: SparkSession, path: str, mapped: bool = True, prepare: Callable[[Collection], object] | None = None) -> Store:
+        """``prepare`` sees the collection before the log is replayed, so that an index can encode what that adds."""
         folder = Folder(spark, path)
         c = load(spark, path, mapped)
+        if prepare:
+            prepare(c)
         generation = folder.read("MANIFEST.json")["generation"]
         store = cls(c, folder, generation)
         names = folder.names()
