@@ -671,6 +671,64 @@ def rotation_pq_refined_recall(spark, d):
     return _recall(search.refine(rough, c, _asked(c), K), c)
 
 
+# --- indexes that keep lists, codes and graphs beside the rows
+
+
+def _indexed(spark, d, kind: str, **options):
+    """An index of the scaled vectors, trained where it must be."""
+    from vexil.indexes import make_index
+
+    index = make_index(spark, kind, 64, custom_ids=True, **options)
+    rows = _corpus(spark, d).select("id", F.col("vector").cast("array<float>").alias("vector"), "label", "quality").orderBy("id")
+    if kind == "ivf" or options.get("hnsw_sq_bits"):
+        index.train(rows)
+    index.add(rows)
+    return index
+
+
+def _floats_topk(where: str = "true") -> str:
+    return _sql_topk(Metric.L2, where, base=_FLOATS)
+
+
+@query(_floats_topk())
+def index_ivf_all_lists(spark, d):
+    """Every list read: the exact answer from the lists' floats."""
+    index = _indexed(spark, d, "ivf", nprobe=100)
+    return _hits(index.batch_query(_asked(index.rows), K))
+
+
+@query(_floats_topk("label = 3"))
+def index_ivf_filtered(spark, d):
+    index = _indexed(spark, d, "ivf", nprobe=100)
+    return _hits(index.batch_query(_asked(index.rows), K, "label = 3"))
+
+
+def _index_recall(index) -> DataFrame:
+    rows = index.rows.select("slot", "id", "vector")
+    return fusion.neighbor_recall(index.batch_query(_asked(rows), K), search.flat_search(rows, _asked(rows), K, index.metric), K)
+
+
+@query()
+def index_ivf_pq_refined_recall(spark, d):
+    from vexil.indexes import RefineIndex, make_index
+
+    index = RefineIndex(make_index(spark, "ivf", 64, custom_ids=True, nprobe=16, pq_subspaces=32, pq_fast_scan=True), 4)
+    rows = _corpus(spark, d).select("id", F.col("vector").cast("array<float>").alias("vector"))
+    index.train(rows)
+    index.add(rows)
+    return _index_recall(index)
+
+
+@query()
+def index_ivf_sq8_recall(spark, d):
+    return _index_recall(_indexed(spark, d, "ivf", nprobe=16, ivf_sq_bits=8))
+
+
+@query()
+def index_hnsw_sq8_recall(spark, d):
+    return _index_recall(_indexed(spark, d, "hnsw", hnsw_sq_bits=8))
+
+
 @query()
 def mmr_diverse(spark, d):
     """Five diverse documents of the twenty nearest, for one vector."""
