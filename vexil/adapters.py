@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 
 from vexil.collection import Collection
 from vexil.functions.predicate import Expr, IsNull, Not, all_of, any_of, as_expr, field
-from vexil.operators.fusion import as_lists, fuse
+from vexil.indexes import Index, load_index, make_index, preset
+from vexil.operators.fusion import as_lists, check_labels, fuse, tune_weights
 from vexil.operators.hnsw import mmr
 from vexil.operators.sparse import BM25, sparse_search
-from vexil.types import Metric
+from vexil.types import Metric, require
 
 
 class SparseEncoder(Protocol):
@@ -46,59 +48,126 @@ def filters(spec) -> Expr:
     return as_expr(spec)
 
 
+Embed = Callable[[DataFrame], DataFrame]
+
+
 class DocumentStore:
-    def __init__(self, spark: SparkSession, dim: int, embed=None, metric: Metric = Metric.COSINE):
-        self.spark, self.embed = spark, embed
-        self.collection = Collection(spark, dim, metric, custom_ids=True)
+    """Texts with vectors and metadata over an index.
+
+    ``index`` is a preset (flat, hnsw, ivf-pq) or an empty index with custom ids;
+    ivf-pq trains on the first rows added.  ``embed`` adds ``vector`` to rows with
+    ``text``; ``encoder`` makes sparse weights of texts, BM25 over the store's own
+    texts if none is given.
+    """
+
+    def __init__(self, spark: SparkSession, dim: int, embed: Embed | None = None, metric: Metric = Metric.COSINE, index: str | Index = "flat", encoder: SparseEncoder | None = None):
+        self.spark, self.dim, self.embed, self.metric, self._encoder = spark, dim, embed, metric, encoder
+        self._preset = index if isinstance(index, str) else None
+        self.index: Index | None = None if self._preset == "ivf-pq" else make_index(spark, index, dim, metric=metric, custom_ids=True) if self._preset else index
+        require(self.index is None or self.index.options.custom_ids, "a document store needs custom ids")
         self._bm25: BM25 | None = None
 
+    @property
+    def collection(self) -> Collection:
+        return self.index.collection if self.index is not None else Collection(self.spark, self.dim, self.metric, custom_ids=True)
+
+    def _embedded(self, rows: DataFrame) -> DataFrame:
+        return self.embed(rows) if self.embed is not None and "vector" not in rows.columns and "text" in rows.columns else rows
+
     def add(self, docs: DataFrame) -> DataFrame:
-        """Rows (id, text, vector, metadata...); an id that is there is replaced. The metadata are kept as JSON as well."""
+        """Rows (id, text, vector unless there is ``embed``, metadata...); an id that is there is replaced.
+
+        The metadata are kept as JSON as well.
+        """
         names = [c for c in docs.columns if c not in ("id", "text", "vector")]
+        docs = self._embedded(docs.withColumn("meta_json", F.to_json(F.struct(*names)) if names else F.lit("{}")))
+        if self.index is None:
+            self.index = preset(self.spark, self._preset, docs, self.metric, custom_ids=True)
         self._bm25 = None
-        return self.collection.upsert(docs.withColumn("meta_json", F.to_json(F.struct(*names)) if names else F.lit("{}")))
+        return self.index.upsert(docs)
 
     def get(self, ids: list[int]) -> list[dict]:
         rows = self.collection.get_metadata(ids).collect()
         return [{"id": r["id"], "text": r["text"], "metadata": json.loads(r["meta_json"])} for r in rows]
 
-    def delete(self, ids: list[int] | None = None, where=None) -> int:
+    def delete(self, ids: list[int] | None = None, where=None, doc_ids: list[str] | None = None) -> int:
+        """By ids, by source documents (metadata ``ref_doc_id``), or by filter; all rows without any."""
         self._bm25 = None
+        if self.index is None:
+            return 0
         if ids is not None:
-            return self.collection.remove(ids)
-        return self.collection.remove(self.collection.ids(filters(where) if where is not None else None))
+            return self.index.remove(ids)
+        return self.index.remove(self.collection.ids(self._condition(where, doc_ids)))
 
     def clear(self) -> int:
         return self.delete()
 
-    def encoder(self) -> BM25:
+    @staticmethod
+    def _condition(where=None, doc_ids: list[str] | None = None) -> Expr | None:
+        terms = [filters(where)] if where is not None else []
+        terms += [field("ref_doc_id").isin(doc_ids)] if doc_ids is not None else []
+        return all_of(*terms) if terms else None
+
+    def encoder(self) -> SparseEncoder:
+        if self._encoder is not None:
+            return self._encoder
         if self._bm25 is None:
             self._bm25 = BM25().added(self.collection.rows, "id", "text")
         return self._bm25
 
-    def search(self, queries: DataFrame, k: int, mode: str = "default", where=None, alpha: float = 0.5, depth: int = 5, method: str = "linear") -> DataFrame:
-        """queries: (qid, vector and/or text). Modes: default, sparse, hybrid (weights alpha and 1 - alpha)."""
-        condition = filters(where) if where is not None else None
-        dense = lambda n: self.collection.query(queries, n, condition)
+    def _sides(self, where, ids, doc_ids, settings):
+        """Dense and sparse search under the same restrictions, each by (queries, k)."""
+        condition = self._condition(where, doc_ids)
+        allowed = None if ids is None else self.spark.createDataFrame([(int(i),) for i in ids], "id long")
+        index = self.index.with_settings(**settings) if settings else self.index
+        dense = lambda queries, n: index.batch_query(self._embedded(queries), n, condition, allowed)
+
+        def sparse(queries, n):
+            rows, encoder = self.collection.allowed(condition, allowed), self.encoder()
+            postings = encoder.document_weights(rows, "id", "text").join(rows.select("id", "slot"), "id")
+            return sparse_search(postings, encoder.query_weights(queries, "qid", "text"), n)
+
+        return dense, sparse
+
+    def search(
+        self, queries: DataFrame, k: int, mode: str = "default", where=None, alpha: float = 0.5, depth: int = 5, method: str = "linear",
+        ids: list[int] | None = None, doc_ids: list[str] | None = None, **settings,
+    ) -> DataFrame:
+        """queries: (qid, vector and/or text). Modes: default, sparse, text_search, hybrid (weights alpha and 1 - alpha).
+
+        ``settings`` (nprobe, ef_search, k_factor) hold for this search only.
+        """
+        require(mode in ("default", "sparse", "text_search", "hybrid"), "mode is default, sparse, text_search or hybrid")
+        require(self.index is not None, "the store is empty")
+        dense, sparse = self._sides(where, ids, doc_ids, settings)
         if mode == "default":
-            return dense(k)
-        rows, bm = self.collection.allowed(condition), self.encoder()
-        postings = bm.document_weights(rows, "id", "text").join(rows.select("id", "slot"), "id")
-        sparse = lambda n: sparse_search(postings, bm.query_weights(queries), n)
-        if mode in ("sparse", "text_search"):
-            return sparse(k)
-        if mode == "hybrid":
-            return fuse(as_lists(dense(k * depth), sparse(k * depth)), [alpha, 1 - alpha], method, k)
-        raise ValueError("mode is default, sparse, text_search or hybrid")
+            return dense(queries, k)
+        if mode != "hybrid":
+            return sparse(queries, k)
+        return fuse(as_lists(dense(queries, k * depth), sparse(queries, k * depth)), [alpha, 1 - alpha], method, k)
+
+    def tune_hybrid_weights(self, queries: DataFrame, labels: DataFrame, k: int, metric: str = "ndcg", depth: int = 5, method: str = "linear") -> float:
+        """The alpha whose mean metric over labels (qid, id, grade) is best."""
+        check_labels(labels)
+        dense, sparse = self._sides(None, None, None, {})
+        return tune_weights(as_lists(dense(queries, k * depth), sparse(queries, k * depth)), labels, k, metric, method)[0][0][0]
 
     def search_mmr(self, vector: list[float], k: int, fetch_k: int = 20, trade: float = 0.5, where=None) -> list[int]:
         """Ids by maximal marginal relevance among the fetch_k nearest."""
-        query = self.spark.createDataFrame([(0, [float(x) for x in vector])], "qid long, vector array<double>")
-        near = self.collection.query(query, fetch_k, filters(where) if where is not None else None).join(self.collection.rows, "id").orderBy("rank").select("id", "vector").collect()
+        near = self.index.query(vector, fetch_k, self._condition(where)).join(self.collection.rows, "id").orderBy("rank").select("id", "vector").collect()
         if not near:
             return []
         return [near[i]["id"] for i in mmr(np.array([r["vector"] for r in near]), np.array(vector), k, trade)]
 
+    def save(self, path: str) -> None:
+        require(self.index is not None, "the store is empty")
+        self.index.save(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, embed: Embed | None = None, encoder: SparseEncoder | None = None) -> DocumentStore:
+        index = load_index(spark, path)
+        return cls(spark, index.dim, embed, index.metric, index, encoder)
+
 
 def relevance(distance: float, metric: Metric) -> float:
     """A score from 0 to 1 for cosine, 1 / (1 + d) for L2, the product itself otherwise."""

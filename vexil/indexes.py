@@ -9,7 +9,8 @@ Raw vectors stay in the table; scans of codes don't read that column.
 from __future__ import annotations
 
 import uuid
-from dataclasses import asdict, dataclass
+from copy import copy
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,12 @@ class Index:
     def _direct(self, rows: DataFrame, filtered: bool, factor: int) -> tuple[bool, int]:
         return False, 0
 
+    def with_settings(self, **options) -> Index:
+        """The same rows searched under other settings (nprobe, ef_search, k_factor, ...); this index stays as it is."""
+        view = copy(self)
+        view.options = replace(self.options, **options)
+        return view
+
     # --- snapshots
 
     def _model(self) -> dict[str, np.ndarray]:
@@ -260,6 +267,10 @@ class HNSWIndex(Index):
         require(self.model is not None, "train before adding", RuntimeError)
         return lists.encode(df, self.model, lists=False)
 
+    def with_settings(self, **options) -> Index:
+        self._segments()  # graphs are built once, not in every view
+        return super().with_settings(**options)
+
     def compact(self) -> int:
         require(not self.wrapped, "this part belongs to another index: write to that one")
         freed = self.collection.compact()
@@ -358,6 +369,11 @@ class RefineIndex(Index):
     def train(self, *args, **options) -> None:
         self.base.train(*args, **options)
 
+    def with_settings(self, k_factor: int | None = None, **options) -> Index:
+        view = super().with_settings(**options)
+        view.base, view.k_factor = self.base.with_settings(**options), k_factor or self.k_factor
+        return view
+
     def compact(self) -> int:
         self.base.wrapped = False
         try:
