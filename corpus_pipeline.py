@@ -54,7 +54,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("packing", packing)]
 
-#: SQL can't express learned stages; tests hold each stage against a brute-force version.
+#: SQL can't express learned stages; tests hold near_dedup, secrets (given the scan's spans) and packing against plain Python,
+#: language and quality against what their operators say of each row.
 ORACLE_SQL = None
 
 
