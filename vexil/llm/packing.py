@@ -16,8 +16,9 @@ shards of about ``shard`` pieces by a hash, and each shard is packed by
 
 A population stops when it reaches the lower bound of ``ceil(tokens / length)``.
 Bins of a shard that are filled below ``full`` are opened, and their pieces are
-dealt and packed again, until they fit in one shard; so no shard keeps a poorly
-filled rest of its own.  Tasks hold one shard each; nothing is collected.
+dealt and packed again, until they fit in one shard, or until over 0.9 of a
+round's pieces would be opened again: then every shard keeps its bins, poorly
+filled ones too.  Tasks hold one shard each; nothing is collected.
 
 Defined results: a null text counts as empty and is the closing id alone; null
 or repeated ids keep their rows; an empty table gives an empty table; other
