@@ -15,8 +15,8 @@ reaches ``reject``; smoothing is towards the same template over all hosts, and
 that towards all labelled URLs.
 
 Joins that look up a node, template or path have the hot keys in a broadcast
-table of at most ``HOT`` rows; no other key then has more than 1 / HOT of the
-rows.
+table of at most ``_join.HOT`` rows; no other key then has more than 1 / HOT of
+the rows.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
 no rule, and the verdict of the template of those; repeated and null ids keep
@@ -29,10 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vexil.llm._join import lookup
 from vexil.llm._store import materialize
 
-HOT = 1000
-
 # The rules of op1.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -56,16 +55,6 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return best
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """rows left-joined with table (unique keys, never null); the HOT keys of most weight are broadcast."""
-    values = [c for c in table.columns if c not in keys]
-    hot = table.orderBy(F.col(weight).desc(), *keys).limit(HOT)
-    tried = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
-    there = tried.where("__hot").drop("__hot")
-    rest = tried.where("__hot is null").drop("__hot", *values).join(table, keys, "left")
-    return there.unionByName(rest)
-
-
 def _shape(segment: Column) -> Column:
     low = F.lower(segment)
     return F.when(low.rlike("^[0-9a-f-]{16,}$"), F.lit("<hex>")).otherwise(F.regexp_replace(low, "[0-9]+", "<num>"))
