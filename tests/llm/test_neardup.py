@@ -106,3 +106,30 @@ def test_representatives_are_rows(spark):
     want = [(1, "a b c d e f"), (1, "wholly different text here now"), (2, "x y z w v u t"), (3, None), (None, "a text without an id"), (None, "another text that has none")]
     assert got == sorted(want, key=str)
     assert keep_representatives(df.limit(0)).count() == 0
+
+
+def test_top_k_of_repeated_query_ids(spark):
+    from pyspark.sql import functions as F
+
+    from vexil.llm.topk import nra, top_k_inner_product
+
+    rows = [(0, [1.0, 0.0], 9), (0, [0.0, 1.0], 9), (1, [0.9, 0.1], 9), (2, [0.5, 0.5], 9), (3, [0.1, 0.9], 9), (None, [5.0, 5.0], 9), (3, [0.1, 0.9], 9), (4, [1e9, 0.0], 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    got = top_k_inner_product(df, F.col("vec_id") == 0, k=3).collect()
+    floor = lambda x, y: int(np.floor(256 * x) * 256 + np.floor(256 * y) * 0)
+    first = [(1, 4, 256 * 256 * 10**9), (2, 1, floor(0.9, 0)), (3, 2, floor(0.5, 0))]
+    second = [(1, 3, floor(0.9, 0)), (2, 3, floor(0.9, 0)), (3, 2, floor(0.5, 0))]
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == sorted(first + second)
+    assert {r.query_id for r in got} == {0}
+
+    # a query that a few rows answer stops before the lists' end
+    rng = np.random.default_rng(0)
+    x = np.floor(rng.normal(size=(2000, 8)) * 30)
+    x[:10] += 500
+    names, ids = np.array([-1, -2]), np.arange(2000)
+    q = np.stack([np.full(8, 3.0), np.floor(rng.normal(size=8) * 30)])
+    found, share = nra(q, names, x, ids, 5)
+    for i in range(2):
+        best = sorted((-int(s), j) for j, s in enumerate(x @ q[i]))[:5]
+        assert [(j, s) for p, j, s in found if p == i] == [(j, -s) for s, j in best]
+    assert share[0] < 0.1

@@ -12,11 +12,3 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
         column = column.combine_chunks()
     flat = column.flatten()
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
-
-
-def usable(vector: str) -> str:
-    """SQL: the array is there, not empty, without null or non-finite components."""
-    return (
-        f"{vector} is not null and size({vector}) > 0 and "
-        f"forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
-    )
