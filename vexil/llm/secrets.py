@@ -3,13 +3,17 @@
 DataFrame functions only.  Patterns (``assign``, ``access``, ``hex``) are found
 leftmost and non-overlapping per kind; positions come from the lengths of what
 lies between the matches.  Candidates for the method are runs of token
-characters with a digit and a letter.  A window slides over a candidate; for
-each step only the counts of the character that leaves and of the one that
-enters change the sum of c log2 c, from which the window's entropy follows.  A
-candidate is an ``entropy`` span if its best window reaches the threshold of its
+characters with a digit and a letter.  A window slides over a candidate; its
+characters' counts are kept, 5 bits each, and at each step only those of the
+character that leaves and of the one that enters change, and with them the sum
+of c log2 c, from which the window's entropy follows.  A candidate is an ``entropy`` span if its best window reaches the threshold of its
 character class, unless the allow list suppresses it or a pattern's span
 overlaps it.
 
+Running sums and bounds over a text's matches are taken in blocks of ``BLOCK``,
+since a fold that appends to an array copies it each time; time is nearly in
+proportion to a text's length and matches.
+
 Spans are in code points, end exclusive.  Defined results: a null text counts as
 empty and has no spans; null or repeated ids keep their rows; an empty table
 gives an empty table; other columns are ignored by ``scan_secrets`` and kept by
@@ -30,6 +34,7 @@ KINDS = ["assign", "access", "hex", "entropy"]
 
 # Least entropy (bits per character over a window) by character class.
 WINDOW = 20
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CLASSES = [(r"^[0-9a-fA-F-]+$", 3.0), (r"^[0-9a-z+/_=-]+$|^[0-9A-Z+/_=-]+$", 3.5), (r"", 3.7)]
 
 # Candidates that are no secrets.
@@ -42,18 +47,62 @@ ALLOWED = [
 ]
 
 
+#: Matches of one block of a running sum.
+BLOCK = 64
+#: Counts of 5 bits in one long.
+COUNTS = 12
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), the value computed once: a lambda's body computes what it refers to outside anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    last = F.floor((F.size(items) - 1) / F.lit(BLOCK)).cast("int")
+    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _running(items: Column, kind: str, zero: int, value, merge) -> Column:
+    """array<struct<at, x>>: each item with what the values of the items before it merge to."""
+    begin = lambda at, inner: F.struct(at.alias("at"), F.array().cast(f"array<{inner}>").alias("out"))
+    more = lambda acc, v, x: F.struct(merge(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(x)).alias("out"))
+    out = lambda acc: acc["out"]
+
+    def within(block: Column, start: Column) -> Column:
+        step = lambda acc, x: more(acc, value(x), F.struct(acc["at"].alias("at"), x.alias("x")))
+        return F.aggregate(block, begin(start, f"struct<at:int,x:{kind}>"), step, out)
+
+    def over(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(zero), lambda acc, x: merge(acc, value(x))))
+        starts = F.aggregate(sums, begin(F.lit(zero), "int"), lambda acc, v: more(acc, v, acc["at"]), out)
+        return F.flatten(F.zip_with(blocks, starts, within))
+
+    return _let(items, lambda xs: _let(_blocks(xs), over))
+
+
+_SPAN = "struct<start:int,kind:int,end:int>"
+
+
 def _placed(found: Column, between: Column, kind: int) -> Column:
     """array<struct<start, kind, end>> of the matches, from what lies between them."""
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    length = lambda x, c: F.length(x[c]).cast("int")
     steps = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("p"))
+    at = _running(steps, "struct<m:string,p:string>", 0, lambda x: length(x, "m") + length(x, "p"), lambda a, v: a + v)
+    begin = lambda s: s["at"] + length(s["x"], "p")
+    return F.transform(at, lambda s: F.struct(begin(s).alias("start"), F.lit(kind).alias("kind"), (begin(s) + length(s["x"], "m")).alias("end")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.cast("int").alias("start"), F.lit(kind).alias("kind"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+def _clear(base: Column, spans: Column) -> Column:
+    """The spans (of the last kind) that no span of base overlaps."""
+    last, far = len(KINDS) - 1, 2**31 - 1
+    ends = lambda x: F.when(x["kind"] < last, x["end"]).otherwise(F.lit(0))
+    starts = lambda x: F.when(x["x"]["kind"] < last, x["x"]["start"]).otherwise(F.lit(far))
+    before = _running(F.array_sort(F.concat(base, spans)), _SPAN, 0, ends, lambda a, v: F.greatest(a, v))
+    after = _running(F.reverse(before), f"struct<at:int,x:{_SPAN}>", far, starts, lambda a, v: F.least(a, v))
+    free = lambda y: (y["x"]["x"]["kind"] == last) & (y["x"]["at"] <= y["x"]["x"]["start"]) & (y["at"] >= y["x"]["x"]["end"])
+    return F.array_sort(F.transform(F.filter(after, free), lambda y: y["x"]["x"]))
 
 
 def _clogc(c: Column) -> Column:
@@ -61,22 +110,39 @@ def _clogc(c: Column) -> Column:
 
 
 def window_entropy(chars: Column, window: int = WINDOW) -> Column:
-    """The largest entropy of the windows of an array of at least ``window`` characters."""
-    count = lambda part, c: F.size(F.filter(part, lambda x: x == c))
-    head = F.slice(chars, 1, window)
-    first = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda s, c: s + _clogc(count(head, c)))
-
-    def slide(acc: Column, i: Column) -> Column:
-        stay = F.slice(chars, i + 1, F.lit(window - 1))
-        leaving, entering = count(stay, F.get(chars, i - 1)), count(stay, F.get(chars, i + (window - 1)))
-        s = acc["s"] + _clogc(leaving) - _clogc(leaving + 1) + _clogc(entering + 1) - _clogc(entering)
-        return F.struct(s.alias("s"), F.least(acc["best"], s).alias("best"))
-
-    n = F.size(chars)
-    steps = F.when(n > window, F.sequence(F.lit(1), n - window)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(first.alias("s"), first.alias("best")), slide, lambda acc: acc["best"])
+    """The largest entropy of the windows of an array of at least ``window`` characters of the alphabet; at most 31."""
     import math
 
+    unit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (i % COUNTS) * 5)
+    count = lambda counts, i: F.call_function("shiftright", F.get(counts, F.floor(i / COUNTS).cast("int")), (i % COUNTS) * 5).bitwiseAND(F.lit(31)).cast("int")
+
+    def changed(counts: Column, i: Column, by: int) -> Column:
+        return F.transform(counts, lambda v, j: F.when(j == F.floor(i / COUNTS).cast("int"), v + F.lit(by) * unit(i)).otherwise(v))
+
+    none = F.array(*[F.lit(0).cast("long") for _ in range(-(-len(ALPHABET) // COUNTS))])
+    state = lambda counts, s, best: F.struct(counts.alias("counts"), s.alias("s"), best.alias("best"))
+
+    def enter(acc: Column, i: Column) -> Column:
+        n = count(acc["counts"], i)
+        return state(changed(acc["counts"], i, 1), acc["s"] + _clogc(n + 1) - _clogc(n), acc["best"])
+
+    def slide(acc: Column, pair: Column) -> Column:
+        def entered(left: Column) -> Column:
+            n, s = count(left["counts"], pair["new"]), left["s"]
+            s = s + _clogc(n + 1) - _clogc(n)
+            return state(changed(left["counts"], pair["new"], 1), s, F.least(acc["best"], s))
+
+        n = count(acc["counts"], pair["old"])
+        return _let(state(changed(acc["counts"], pair["old"], -1), acc["s"] - _clogc(n) + _clogc(n - 1), acc["best"]), entered)
+
+    def over(at: Column) -> Column:
+        first = F.aggregate(F.slice(at, 1, window), state(none, F.lit(0.0), F.lit(0.0)), enter)
+        rest = F.greatest(F.size(at) - window, F.lit(0))
+        pairs = F.arrays_zip(F.slice(at, F.lit(1), rest).alias("old"), F.slice(at, F.lit(window + 1), rest).alias("new"))
+        begin = _let(first, lambda f: state(f["counts"], f["s"], f["s"]))
+        return F.aggregate(pairs, begin, slide, lambda acc: acc["best"])
+
+    least = _let(F.transform(chars, lambda c: F.call_function("locate", c, F.lit(ALPHABET)) - 1), over)
     return F.lit(math.log2(window)) - least / F.lit(float(window))
 
 
@@ -115,9 +181,10 @@ def _with_spans(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
         lambda x: x["s"],
     )
     df = df.select(*keep, "__text", "__m_entropy", some("entropy").alias("__c"), F.array_sort(F.concat(long, some("access"), some("hex"))).alias("base"))
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"]))
-    found = F.filter(F.arrays_zip(F.col("__m_entropy").alias("m"), F.col("__c").alias("s")), lambda x: free(x) & _is_secret(x["m"]))
-    return df.select(*keep, "__text", "base", F.transform(found, lambda x: x["s"]).alias("found"))
+    found = F.filter(F.arrays_zip(F.col("__m_entropy").alias("m"), F.col("__c").alias("s")), lambda x: _is_secret(x["m"]))
+    df = df.select(*keep, "__text", "base", F.transform(found, lambda x: x["s"]).alias("__found"))
+    found = F.when((F.size("__found") > 0) & (F.size("base") > 0), _clear(F.col("base"), F.col("__found"))).otherwise(F.col("__found"))
+    return df.select(*keep, "__text", "base", found.alias("found"))
 
 
 def _spelled(spans: Column) -> Column:
@@ -137,19 +204,26 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
     other = [c for c in columns if c != text_col]
     rows = docs.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(other)), F.col(f"`{text_col}`").alias("__original"))
     keep = [f"__k{i}" for i in range(len(other))] + ["__original"]
-    spans = F.array_sort(F.concat("base", "found"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.array(F.substring(F.col("__text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"),
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(
-        spans, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("__text"), acc["at"] + 1, F.lit(2**31 - 1)))
-    )
+    text = F.col("__text")
+
+    # every span with the furthest end before it; the text is cut block by block, since cutting counts from its start
+    def over(spans: Column) -> Column:
+        end = F.aggregate(spans, F.lit(0), lambda a, s: F.greatest(a, s["x"]["end"]))
+
+        def block(blocks: Column) -> Column:
+            first = F.concat(F.transform(blocks, lambda b: F.get(b, F.lit(0))["at"]), F.array(end))
+
+            def piece(b: Column, i: Column) -> Column:
+                at, to = F.get(b, F.lit(0))["at"], F.get(first, i + 1)
+                gap = lambda part, s: F.concat(F.substring(part, s["at"] - at + 1, s["x"]["start"] - s["at"]), F.lit(mask))
+                masked = lambda part: F.transform(b, lambda s: F.when(s["x"]["start"] >= s["at"], gap(part, s)).otherwise(F.lit("")))
+                return F.array_join(_let(F.substring(text, at + 1, to - at), masked), "")
+
+            return F.concat(F.array_join(F.transform(blocks, piece), ""), F.substring(text, end + 1, F.lit(2**31 - 1)))
+
+        return _let(_blocks(spans), block)
+
+    whole = _let(_running(F.array_sort(F.concat("base", "found")), _SPAN, 0, lambda x: x["end"], lambda a, v: F.greatest(a, v)), over)
     masked = F.when((F.size("base") > 0) | (F.size("found") > 0), whole).otherwise(F.col("__original"))
     found = _with_spans(rows, "__original", *keep)
     at = {c: F.col(f"__k{i}") for i, c in enumerate(other)} | {text_col: masked}
