@@ -5,14 +5,19 @@ path prefix; a rule fits its host and all subdomains, the longest wins (of
 equally long ones the first listed).  URLs that a rule fits are the labelled
 ones from which the tree learns.
 
-Tree: per host, a path's segments are generalised by shape (numbers and hex
-runs become wildcards); where a node has many children for the URLs below it,
-its children become one wildcard.  Only ``depth`` segments are told apart, the
-rest is one wildcard.  A branch whose share of blocked URLs doesn't differ
-significantly from that of its siblings (two-proportion test) is merged with
-them.  A template is rejected if its smoothed labelled purity of ``block``
-reaches ``reject``; smoothing is towards the same template over all hosts, and
-that towards all labelled URLs.
+Tree: per host and level by level, a path's segments are generalised by shape
+(numbers and hex runs become wildcards); where a node, itself named by the
+generalised segments above it, has many children for the distinct paths below
+it, its children become one wildcard.  Below a node with a single path nothing
+branches, and the rest is taken by shape.  There is no limit of depth.
+
+Merging starts at the leaves: siblings are ordered by their share of blocked
+URLs, and neighbours whose shares don't differ significantly (two-proportion
+test) become one branch.  Where all siblings become one, it takes its parent's
+place among that one's siblings, until nothing merges any more.  A branch without
+labels counts what its labelled siblings count together.  A template is rejected
+if its branch's smoothed labelled purity of ``block`` reaches ``reject``; smoothing
+is towards the same branch of other hosts, and that towards all labelled URLs.
 
 Joins that look up a node, template or path have the hot keys in a broadcast
 table of at most ``_join.HOT`` rows; no other key then has more than 1 / HOT of
@@ -20,13 +25,15 @@ the rows.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
 no rule, and the verdict of the template of those; repeated and null ids keep
-their rows; without labelled URLs everything is allowed; an empty table gives an
+their rows; of a path that several rows have, each row counts; without labelled URLs everything is allowed; an empty table gives an
 empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexil.llm._join import lookup
@@ -60,69 +67,109 @@ def _shape(segment: Column) -> Column:
     return F.when(low.rlike("^[0-9a-f-]{16,}$"), F.lit("<hex>")).otherwise(F.regexp_replace(low, "[0-9]+", "<num>"))
 
 
+def _templates(known: DataFrame, children: int, spread: float) -> DataFrame:
+    """(host, path, n, label, template) of distinct paths (host, path, n, label, shapes)."""
+    kept = ["host", "path", "n", "label"]
+    ready = [known.where(F.size("shapes") == 0).select(*kept, F.lit("").alias("template"))]
+    now, level = known.where(F.size("shapes") > 0).withColumn("prefix", F.lit("")), 0
+    while True:
+        segment = F.get("shapes", F.lit(level))
+        kinds = now.groupBy("host", "prefix", segment.alias("segment")).agg(F.count(F.lit(1)).alias("paths"))
+        nodes = kinds.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("k"), F.sum("paths").alias("paths"))
+        nodes = materialize(nodes.select("host", "prefix", ((F.col("k") >= children) & (F.col("k") >= spread * F.col("paths"))).alias("varies"), "paths"))
+        join = lambda *parts: F.concat_ws("/", F.when(F.length("prefix") > 0, F.col("prefix")), *parts)
+        here = lookup(now, nodes, ["host", "prefix"], "paths")
+        alone, step = F.col("paths") == 1, F.when(F.col("varies"), F.lit("*")).otherwise(segment)
+        rest = join(F.array_join(F.slice("shapes", level + 1, F.greatest(F.size("shapes") - level, F.lit(1))), "/"))
+        here = materialize(here.select(*kept, "shapes", F.when(alone, rest).otherwise(join(step)).alias("prefix"), (alone | (F.size("shapes") <= level + 1)).alias("done")))
+        ready.append(here.where("done").select(*kept, F.col("prefix").alias("template")))
+        now, level = here.where("not done").drop("done"), level + 1
+        if now.isEmpty():
+            break
+    return functools.reduce(DataFrame.unionByName, ready)
+
+
+def _grouped(units: DataFrame) -> DataFrame:
+    """Units with g_bad and g_seen, what their group of similar siblings counts, and how many groups (g) and units (m) their parent has."""
+    # siblings with the same counts are alike without a test
+    classes = units.groupBy("host", "up", "bad", "seen").agg(F.count(F.lit(1)).alias("m"))
+    order = Window.partitionBy("host", "up").orderBy(F.col("bad") / F.col("seen"), "seen", "bad")
+    last = lambda c: F.lag(c).over(order)
+    pooled = (F.col("bad") + last("bad")) / (F.col("seen") + last("seen"))
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("seen") + 1 / last("seen")))
+    differs = F.abs(F.col("bad") / F.col("seen") - last("bad") / last("seen")) > F.lit(1.96) * error
+    labelled = classes.where("seen > 0").withColumn("differs", F.coalesce(differs, F.lit(False)).cast("int"))
+    labelled = labelled.withColumn("part", F.sum("differs").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = labelled.groupBy("host", "up", "part").agg(F.sum(F.col("bad") * F.col("m")).alias("g_bad"), F.sum(F.col("seen") * F.col("m")).alias("g_seen"))
+    seen = labelled.join(parts, ["host", "up", "part"]).select("host", "up", "bad", "seen", "m", "part", "g_bad", "g_seen")
+    both = classes.where("seen = 0").select("*", *(F.lit(None).cast("long").alias(c) for c in ("part", "g_bad", "g_seen"))).unionByName(seen)
+    parents = both.groupBy("host", "up").agg(
+        F.sum("m").alias("units"), (F.coalesce(F.max("part"), F.lit(-1)) + 1).alias("groups"),
+        F.sum(F.col("bad") * F.col("m")).alias("u_bad"), F.sum(F.col("seen") * F.col("m")).alias("u_seen"),
+    )
+    both = lookup(both, parents, ["host", "up"], "units").select(
+        "host", "up", "bad", "seen", "m", "units", "groups", F.coalesce("g_bad", "u_bad").alias("g_bad"), F.coalesce("g_seen", "u_seen").alias("g_seen")
+    )
+    return lookup(units, materialize(both), ["host", "up", "bad", "seen"], "m").drop("m")
+
+
+def _branches(tally: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, template, node) and (host, node, bad, seen, n, g_bad, g_seen): each template's branch, and what it counts."""
+    above = lambda c: F.when(F.length(c) == 0, F.lit(None)).otherwise(F.regexp_replace(c, "/?[^/]*$", ""))
+    node = F.col("template")
+    units = tally.select("host", node.alias("node"), F.coalesce(above(node), F.lit("<none>")).alias("up"), "bad", "seen", "n")
+    place = tally.select("host", "template", F.col("template").alias("node"))
+    while True:
+        units = materialize(_grouped(units))
+        merged = (F.col("units") > 1) & (F.col("groups") <= 1) & (F.col("up") != "<none>")
+        if units.where(merged).isEmpty():
+            return place, units
+        name = F.when(merged, F.concat("up", F.lit("/**"))).otherwise(F.col("node"))
+        to = units.where(merged).select("host", "node", name.alias("to"), "n")
+        place = lookup(place, to, ["host", "node"], "n").select("host", "template", F.coalesce("to", "node").alias("node"))
+        up = F.when(merged, F.coalesce(above(F.col("up")), F.lit("<none>"))).otherwise(F.col("up"))
+        place = materialize(place)
+        units = units.select("host", name.alias("node"), up.alias("up"), "bad", "seen", "n").groupBy("host", "node", "up").agg(*(F.sum(c).alias(c) for c in ("bad", "seen", "n")))
+
+
 def judge_urls(
     pages: DataFrame,
     rules: list[tuple[str, str]],
     id_col: str = "page_id",
     url_col: str = "url",
-    depth: int = 6,
     children: int = 12,
     spread: float = 0.2,
     strength: float = 5.0,
     reject: float = 0.6,
 ) -> DataFrame:
-    """(page_id, host, path, rule, verdict, template, purity) of every row; see the module's text."""
+    """(page_id, host, path, rule, verdict, template, branch, purity) of every row; see the module's text."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     ruled = rule_of(F.col("host"), F.col("path"), rules)
     known = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("label", ruled["verdict"])
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    shapes = F.transform(F.slice(segments, 1, depth), _shape)
-    shapes = F.when(F.size(segments) > depth, F.concat(shapes, F.array(F.lit("<rest>")))).otherwise(shapes)
-    known = materialize(known.withColumn("shapes", shapes))
-    # nodes of the tree by shape: how many children they have, for how many URLs
-    steps = known.where(F.size("shapes") > 0).select("host", "path", "n", "shapes", F.posexplode("shapes").alias("pos", "segment"))
-    steps = steps.withColumn("prefix", F.array_join(F.slice("shapes", F.lit(1), F.col("pos")), "/"))
-    nodes = (
-        steps.groupBy("host", "prefix", "segment").agg(F.sum("n").alias("n"))
-        .groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("weight"))
-    )
-    nodes = materialize(nodes.select("host", "prefix", ((F.col("k") >= children) & (F.col("k") >= spread * F.col("weight"))).alias("varies"), "weight"))
-    general = lookup(steps.select("host", "path", "pos", "segment", "prefix"), nodes, ["host", "prefix"], "weight").select(
-        "host", "path", "pos", F.when(F.col("varies"), F.lit("*")).otherwise(F.col("segment")).alias("segment")
-    )
-    # at most depth + 1 rows a path
-    templates = general.groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "segment"))).alias("s")).select(
-        "host", "path", F.array_join(F.transform("s", lambda x: x["segment"]), "/").alias("template")
-    )
-    known = materialize(known.join(templates, ["host", "path"], "left").select("host", "path", "n", "label", F.coalesce("template", F.lit("")).alias("template")))
-    tally = known.groupBy("host", "template").agg(
+    shapes = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _shape)
+    known = materialize(_templates(materialize(known.withColumn("shapes", shapes)), children, spread))
+    tally = materialize(known.groupBy("host", "template").agg(
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("label") == "block", F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).alias("seen"),
-    )
-    tally = materialize(tally.withColumn("parent", F.regexp_replace("template", "/?[^/]*$", "")))
-    family = tally.groupBy("host", "parent").agg(F.sum("bad").alias("f_bad"), F.sum("seen").alias("f_seen"), F.sum("n").alias("f_n"))
-    over = tally.groupBy("template").agg(F.sum("bad").alias("t_bad"), F.sum("seen").alias("t_seen"), F.sum("n").alias("t_n"))
+    ))
+    place, units = _branches(tally)
+    over = units.groupBy("node").agg(F.sum("bad").alias("t_bad"), F.sum("seen").alias("t_seen"), F.sum("n").alias("t_n"))
     every = tally.agg(((F.coalesce(F.sum("bad"), F.lit(0))) / F.greatest(F.coalesce(F.sum("seen"), F.lit(0)), F.lit(1))).alias("share"))
-    judged = lookup(lookup(tally, family, ["host", "parent"], "f_n"), over, ["template"], "t_n").crossJoin(F.broadcast(every))  # one row
-    siblings, s_bad = F.col("f_seen") - F.col("seen"), F.col("f_bad") - F.col("bad")
-    pooled = F.col("f_bad") / F.greatest("f_seen", F.lit(1))
-    gap = F.abs(F.col("bad") / F.greatest("seen", F.lit(1)) - s_bad / F.greatest(siblings, F.lit(1)))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest("seen", F.lit(1)) + 1 / F.greatest(siblings, F.lit(1))))
-    alike = (F.col("seen") > 0) & (siblings > 0) & (gap <= 1.96 * error)
-    bad = F.when(alike, F.col("f_bad")).otherwise(F.col("bad"))
-    seen = F.when(alike, F.col("f_seen")).otherwise(F.col("seen"))
-    # what other hosts tell about the template, itself smoothed
+    judged = lookup(units, over, ["node"], "t_n").crossJoin(F.broadcast(every))  # one row
+    # what other hosts tell about the branch, itself smoothed
     prior = (F.col("t_bad") - F.col("bad") + F.lit(strength) * F.col("share")) / (F.col("t_seen") - F.col("seen") + F.lit(strength))
-    purity = (bad + F.lit(strength) * prior) / (seen + F.lit(strength))
-    verdicts = materialize(judged.select("host", "template", purity.alias("purity"), "n"))
-    by_path = materialize(lookup(known.select("host", "path", "template", F.col("n").alias("hits")), verdicts, ["host", "template"], "n").drop("n"))
+    purity = (F.col("g_bad") + F.lit(strength) * prior) / (F.col("g_seen") + F.lit(strength))
+    verdicts = materialize(judged.select("host", "node", purity.alias("purity"), "n"))
+    named = lookup(place, verdicts, ["host", "node"], "n").select("host", "template", F.col("node").alias("branch"), "purity")
+    weighed = materialize(lookup(named, tally.select("host", "template", "n"), ["host", "template"], "n"))
+    by_path = materialize(lookup(known.select("host", "path", "template", F.col("n").alias("hits")), weighed, ["host", "template"], "n").drop("n"))
     answer = lookup(rows, by_path, ["host", "path"], "hits").withColumn("ruled", ruled)
     return answer.select(
         "page_id", "host", "path", F.col("ruled.rule").alias("rule"),
         F.coalesce(F.col("ruled.verdict"), F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        "template", "purity",
+        "template", "branch", "purity",
     )
 
 
