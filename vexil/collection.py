@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from vexil.functions.kernels import normalized
 from vexil.functions.predicate import as_expr
+from vexil.materialize import materialize
 from vexil.operators.search import flat_search, padded
 from vexil.types import Metric, require
 
@@ -44,9 +45,8 @@ def _typed(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Rows whose numbers must not change: in the checkpoint folder if the cluster names one, else cached."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+#: Writes after which the rows are materialized, so that plans stay short.
+WRITES = 16
 
 
 def _starts(df: DataFrame, part: str) -> tuple[DataFrame, int]:
@@ -63,7 +63,10 @@ class Collection:
         self.spark, self.dim, self.metric, self.custom_ids, self.sparse = spark, dim, Metric(metric), custom_ids, sparse
         fields = "slot long, id long" + (", vector array<float>" if dim else "") + (", terms array<struct<term:bigint,weight:double>>" if sparse else "")
         self._state = State(spark.createDataFrame([], fields))
-        self._lock = threading.Lock()
+        self._lock, self._writes = threading.Lock(), 0
+        self.persist_path: str | None = None
+        self.mapped = False
+        self.batches: dict[str, int] = {}  # the last micro-batch of each stream
         # what an index over these rows adds: derived columns of new rows, and its own description in a snapshot
         self.encode: Callable[[DataFrame], DataFrame] | None = None
         self.describe: Callable[[str], dict] | None = None
@@ -114,6 +117,9 @@ class Collection:
     # --- writes
 
     def _swap(self, rows: DataFrame, **changes) -> None:
+        self._writes += 1
+        if self._writes % WRITES == 0:
+            rows = materialize(rows)
         self._state = replace(self._state, rows=rows, **changes)
 
     def _checked(self, df: DataFrame) -> DataFrame:
@@ -141,7 +147,7 @@ class Collection:
                         require(new == old, f"{n} is {old.simpleString()}")
             # the id is the partition above 33 bits of the place in it: with the partitions' starts it gives the row's number
             placed = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33).cast("int"))
-            placed = _kept(self.encode(placed) if self.encode else placed)
+            placed = materialize(self.encode(placed) if self.encode else placed)
             starts, n = _starts(placed, "__part")
             place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
             numbered = placed.join(F.broadcast(starts), "__part").withColumn("__n", F.col("__start") + place).withColumn("slot", F.col("__n") + state.next_slot)
@@ -182,7 +188,7 @@ class Collection:
         """
         with self._lock:
             state = self._state
-            ranged = _kept(state.rows.repartitionByRange("slot").withColumn("__part", F.spark_partition_id()))
+            ranged = materialize(state.rows.repartitionByRange("slot").withColumn("__part", F.spark_partition_id()))
             lookup, at = _starts(ranged, "__part")
             inner = F.row_number().over(Window.partitionBy("__part").orderBy("slot"))
             rows = ranged.withColumn("__n", inner).join(F.broadcast(lookup), "__part").withColumn("slot", F.col("__start") + F.col("__n") - 1)

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexil.collection import Collection, _kept
+from vexil.collection import Collection
+from vexil.materialize import materialize
 from vexil.operators import fusion, lists, sparse
 from vexil.operators.hnsw import Graph
 from vexil.operators.quantize import PER_CENTROID, PQCodebook, ScalarQuantizer, balanced_rotation, emeans, kmeans, sample_matrix
@@ -167,6 +168,33 @@ class IVFIndex(Index):
         require(not symmetric or not (self.model.fast_scan or self.model.inner), "symmetric tables don't go with a fast scan or products")
         self.model.symmetric = symmetric
 
+    @property
+    def precomputed_tables(self) -> bool:
+        return self.model is not None and self.model.fixed is not None
+
+    @precomputed_tables.setter
+    def precomputed_tables(self, value: bool) -> None:
+        """Keep the part of the distance tables that no query changes; False where it would take more than 256 MB."""
+        require(self.model is not None and self.model.book is not None, "no product codes", RuntimeError)
+        require(not value or not self.model.inner, "tables of products have no such part")
+        if not value:
+            self.model.fixed = None
+        else:
+            self.model.precompute()
+
+    @property
+    def cosine_inner_product(self) -> bool:
+        return self.model is not None and self.collection.metric == Metric.COSINE and bool(self.model.inner)
+
+    @cosine_inner_product.setter
+    def cosine_inner_product(self, value: bool) -> None:
+        """One table of products per query instead of one of distances per list; training chooses by a trial."""
+        require(self.model is not None and self.model.book is not None, "no product codes", RuntimeError)
+        require(self.collection.metric == Metric.COSINE, "only for cosine")
+        require(not value or not self.model.symmetric, "symmetric tables don't go with products")
+        self.model.inner = bool(value)
+        self.model.fixed = None
+
     def train(self, vectors: DataFrame, iterations: int = 10, passes: int = 2, clustering: Clustering = Clustering.EMEANS, seed: int = 1) -> None:
         """Centroids, rotation and codebook from a sample of at most 256 vectors per centroid; scalar ranges from all."""
         require(self.model is None, "trained already", RuntimeError)
@@ -245,7 +273,7 @@ class HNSWIndex(Index):
         require(self.options.hnsw_m >= 2 and self.options.ef_search >= 1, "M is at least 2 and ef_search at least 1")
         require(self.options.hnsw_sq_bits in (0, 4, 8), "bits are 4 or 8")
         self.model = None
-        self._graphs, self._built, self._total, self._of = None, 0, 0, None
+        self._graphs, self._built, self.filter_ef_scaling = None, 0, True
         if self.options.hnsw_sq_bits:
             self.collection.encode = self._encode
 
@@ -300,7 +328,7 @@ class HNSWIndex(Index):
             new = self.collection.rows.where(F.col("slot") >= first)
             value = F.col("__codes") if coded else F.col("vector").cast("array<double>")
             dealt = new.select((F.pmod(F.xxhash64("slot"), F.lit(parts)) + F.lit(first)).alias("part"), "slot", "id", value.alias("value"))
-            built = _kept(dealt.groupBy("part").applyInArrow(build, "part long, graph binary"))
+            built = materialize(dealt.groupBy("part").applyInArrow(build, "part long, graph binary"))
             self._graphs = built if self._graphs is None else self._graphs.unionByName(built)
             self._parts = [*(self._parts if self._built else []), (first, slots, parts)]
             self._built = slots
@@ -321,7 +349,7 @@ class HNSWIndex(Index):
             q = unit_rows(q) if self.metric == Metric.COSINE else q
             shipped = self.spark.sparkContext.broadcast((qids, q))
 
-            some = graphs.groupBy("part").cogroup(live.groupBy("part")).applyInArrow(_finder(shipped, k, ef, half), lists.HITS)
+            some = graphs.groupBy("part").cogroup(live.groupBy("part")).applyInArrow(_finder(shipped, k, ef, half, self.filter_ef_scaling), lists.HITS)
             hits = some if hits is None else hits.unionByName(some)
         if hits is None:
             return flat_search(rows, queries, 0, self.metric)
@@ -335,7 +363,7 @@ class HNSWIndex(Index):
             self.model = lists.Model(self.collection.metric, np.zeros((0, self.collection.dim)), **model, bits=self.options.hnsw_sq_bits)
 
 
-def _finder(shipped, k: int, ef: int, half: float):
+def _finder(shipped, k: int, ef: int, half: float, scaling: bool = True):
     """(graphs of a part, slots of its live rows) to the part's hits."""
 
     def find(blobs: pa.Table, live: pa.Table) -> pa.Table:
@@ -347,7 +375,7 @@ def _finder(shipped, k: int, ef: int, half: float):
             slot, ident, graph = pickle.loads(blob.as_py())
             ok = np.isin(slot, live.column("slot").to_numpy())
             for qid, v in zip(qids, q):
-                out += [(int(qid), int(slot[i]), int(ident[i]), d * half) for d, i in graph.search(v, k, ef, None if ok.all() else ok)]
+                out += [(int(qid), int(slot[i]), int(ident[i]), d * half) for d, i in graph.search(v, k, ef, None if ok.all() else ok, scaling)]
         kinds = [("qid", pa.int64()), ("slot", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())]
         return pa.table({n: pa.array([o[j] for o in out], t) for j, (n, t) in enumerate(kinds)})
 
@@ -399,6 +427,7 @@ class InvertedIndex(Index):
 
     def __init__(self, spark: SparkSession, dim: int | None = None, options: Options | None = None, collection: Collection | None = None):
         super().__init__(spark, None, options, True, collection)
+        self.pruning = False  # the same results by bounds on the terms' weights
 
     def _postings(self, rows: DataFrame) -> DataFrame:
         return sparse.canonical(rows.select("id", "terms")).join(rows.select("id", "slot"), "id")
@@ -416,7 +445,8 @@ class InvertedIndex(Index):
         return padded(hits, queries.select("qid").distinct(), k) if pad else hits
 
     def _hits(self, queries: DataFrame, k: int, rows: DataFrame, filtered: bool) -> DataFrame:
-        return sparse.sparse_search(self._postings(rows), self._asked(queries), k)
+        search = sparse.pruned_search if self.pruning and k > 0 else sparse.sparse_search
+        return search(self._postings(rows), self._asked(queries), k)
 
     def counts(self) -> tuple[int, int]:
         """(terms, postings)."""
@@ -424,11 +454,38 @@ class InvertedIndex(Index):
 
 
 class SparseApproxIndex(InvertedIndex):
+    """Keeps its postings with their places in their lists; what was added since is always read, and merged
+    when it is more than 64 rows and more than an eighth of those that are sorted (at most 4,096)."""
+
     kind = IndexType.SPARSE_APPROX
 
+    def __init__(self, spark: SparkSession, dim: int | None = None, options: Options | None = None, collection: Collection | None = None):
+        super().__init__(spark, dim, options, collection)
+        self._sorted, self._end, self._count = None, 0, 0
+
+    def settle(self) -> None:
+        """Rank the postings of all rows."""
+        rows = self.collection.rows
+        self._sorted, self._end, self._count = materialize(sparse.ranked_postings(self._postings(rows))), self.collection.slots, rows.count()
+
+    def compact(self) -> int:
+        require(not self.wrapped, "this part belongs to another index: write to that one")
+        freed = self.collection.compact()
+        self._sorted, self._end, self._count = None, 0, 0
+        return freed
+
     def _hits(self, queries: DataFrame, k: int, rows: DataFrame, filtered: bool) -> DataFrame:
         o, every = self.options, 2**31 - 1  # 0 stands for all
-        return sparse.sparse_approx_search(sparse.ranked_postings(self._postings(rows)), self._asked(queries), k, o.query_terms or every, o.list_depth or every, o.k_factor)
+        if self.collection.slots - self._end > max(64, min(self._count // 8, 4096)) or self._sorted is None:
+            self.settle()
+        postings = self._sorted
+        if self.collection.slots > self._end:
+            postings = postings.unionByName(self._postings(rows.where(F.col("slot") >= self._end)).withColumn("place", F.lit(0)))
+        if filtered:  # places are among the rows that may be found
+            postings = sparse.ranked_postings(postings.drop("place").join(rows.select("id"), "id", "left_semi"))
+        else:
+            postings = postings.join(rows.select("slot"), "slot", "left_semi")
+        return sparse.sparse_approx_search(postings, self._asked(queries), k, o.query_terms or every, o.list_depth or every, o.k_factor)
 
 
 class HybridIndex(Index):
@@ -439,9 +496,10 @@ class HybridIndex(Index):
     def __init__(self, dense: Index, method: str = "linear", weights: tuple[float, float] = (1.0, 1.0), rrf_k: float = 60.0, depth_factor: int = 5):
         require(dense.collection.sparse and dense.collection.dim is not None, "the dense part needs rows with terms (sparse=True)")
         require(not dense.wrapped, "a part belongs to one index")
+        describe = dense.collection.describe
         super().__init__(dense.spark, None, dense.options, collection=dense.collection)
         self.dense, self.sparse_part = dense, InvertedIndex(dense.spark, options=dense.options, collection=dense.collection)
-        self.collection.describe = dense._describe
+        self.collection.describe = lambda path: describe(path) | {"hybrid": {"method": self.method, "weights": list(self.weights), "rrf_k": self.rrf_k, "depth_factor": self.depth_factor}}
         self.method, self.weights, self.rrf_k, self.depth_factor = method, tuple(weights), rrf_k, depth_factor
         dense.wrapped = self.sparse_part.wrapped = True
 
@@ -506,6 +564,8 @@ def _attached(spark: SparkSession, path: str, c: Collection) -> Index:
     index._restore(model, about)
     if about.get("refine"):
         index = RefineIndex(index, about["refine"])
+    if about.get("hybrid"):
+        index = HybridIndex(index, **about["hybrid"])
     c._state = held
     return index
 

@@ -92,7 +92,7 @@ class Graph:
         if level > top:
             self.entry = i
 
-    def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
+    def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None, scaling: bool = True) -> list[tuple[float, int]]:
         if self.entry < 0 or k == 0:
             return []
         ef = max(ef, k)
@@ -100,10 +100,10 @@ class Graph:
             count = int(allowed.sum())
             if not count:
                 return []
-            if count * count <= 2 * ef * self.m * len(self.x):  # so few that scoring them all is cheaper
+            if count * count <= (2 if scaling else 1) * ef * self.m * len(self.x):  # so few that scoring them all is cheaper
                 at = np.flatnonzero(allowed)
                 return sorted(zip(self._score(q, at).tolist(), at.tolist()))[:k]
-            ef = max(k, round(ef * (count / len(self.x)) ** (1 / 3)))
+            ef = max(k, round(ef * (count / len(self.x)) ** (1 / 3))) if scaling else ef
         wide = np.append(q, 0.0) if self.inner else q
         at = [self.entry]
         for lv in range(int(self.levels[self.entry]), 0, -1):

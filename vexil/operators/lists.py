@@ -40,6 +40,16 @@ class Model:
     inner: bool = False  # one table of products per query instead of one of distances per list
     symmetric: bool = False
     arrays: tuple[str, ...] = field(default=("centroids", "rotation", "low", "step"), repr=False)
+    fixed: np.ndarray | None = None  # the part of the tables of distances that no query changes, by list
+
+    def precompute(self, most_mb: int = 256) -> bool:
+        """Keep |y|^2 + 2 c y for every list's c and every code's y, if that takes at most ``most_mb`` MB."""
+        m, codes, _ = self.book.centroids.shape
+        if len(self.centroids) * m * codes * 8 > most_mb << 20:
+            return False
+        c = np.stack(np.split(self.turned(self.centroids), m, axis=1))
+        self.fixed = ((self.book.centroids**2).sum(axis=2)[:, None, :] + 2 * c @ self.book.centroids.transpose(0, 2, 1)).transpose(1, 0, 2)
+        return True
 
     def turned(self, x: np.ndarray) -> np.ndarray:
         return x if self.rotation is None else x @ self.rotation
@@ -73,6 +83,10 @@ class Model:
         if self.inner:
             return np.stack([-(p @ y.T) for p, y in zip(parts(q), self.book.centroids)], axis=1), (self.metric == Metric.COSINE) - q @ c
         r = q - c
+        if self.fixed is not None and not self.symmetric:
+            base = np.stack([(p * p).sum(axis=1) for p in parts(r)], axis=1)
+            products = np.stack([p @ y.T for p, y in zip(parts(q), self.book.centroids)], axis=1)
+            return base[:, :, None] + self.fixed[at][None] - 2 * products, np.zeros(len(q))
         if self.symmetric:
             decoded = self.book.decode(self.book.encode(self.turned(r)))
             split = np.split(decoded, len(self.book.centroids), axis=1)

@@ -173,6 +173,19 @@ class PQCodebook:
         tables = self.sdc_tables()
         return tables[np.arange(len(tables)), a, b].sum(axis=-1)
 
+    def write(self, spark, path: str) -> None:
+        """A folder of its own kind on any file system that Spark reaches."""
+        shape = list(self.centroids.shape)
+        spark.createDataFrame([("pq-codebook", shape, self.centroids.tobytes())], "kind string, shape array<int>, value binary").coalesce(1).write.parquet(path)
+
+    @classmethod
+    def read(cls, spark, path: str) -> PQCodebook:
+        table = spark.read.parquet(path)
+        require(table.columns == ["kind", "shape", "value"], "not a codebook", RuntimeError)
+        row = table.first()
+        require(row is not None and row["kind"] == "pq-codebook", "not a codebook", RuntimeError)
+        return cls(np.frombuffer(row["value"], np.float64).reshape(row["shape"]))
+
     def save(self, path: str) -> None:
         np.savez(path, kind=np.array("pq-codebook"), centroids=self.centroids)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vexil.collection import Collection
 from vexil.functions import kernels
 from vexil.functions.predicate import field
+from vexil.materialize import shared_folder
 from vexil.operators import fusion, hnsw, quantize, search, sparse
 from vexil.types import Clustering, Metric
 
@@ -290,18 +291,20 @@ def schema_evolution(spark, d):
     return c.rows.select("id", *c._state.metadata)
 
 
+def _folder(spark) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/made-{np.random.default_rng().bytes(6).hex()}"
+
+
 @query(_sql_topk(where="id % 3 <> 1", base=_FLOATS))
 def persist_reopen_search(spark, d):
-    import tempfile
-
     from vexil.sources.store import Store
 
-    base = spark.sparkContext._jsc.sc().getCheckpointDir()
-    path = (base.get() if base.isDefined() else tempfile.mkdtemp()) + "/store-" + np.random.default_rng().bytes(6).hex()
+    path = _folder(spark)
     c = _collection(spark, d)
     asked = _asked(c.rows)
     store = Store.persist(c, path)
-    store.remove([r[0] for r in c.rows.where("id % 3 = 1").select("id").collect()])
+    store.remove(c.rows.where("id % 3 = 1"))
     return _hits(Store.open(spark, path).collection.query(asked, K))
 
 
@@ -386,8 +389,7 @@ def sparse_canonical(spark, d):
 def sparse_approx_topk(spark, d):
     docs, bm, asked = _bm25(spark, d)
     by_token = lambda df: df.drop("term").withColumnRenamed("token", "term")  # noqa: E731  ties in the oracle are by token
-    ranked = sparse.ranked_postings(by_token(_postings(bm, docs)))
-    return _hits(sparse.sparse_approx_search(ranked, by_token(bm.query_weights(asked)), K, query_terms=5, list_depth=50, k_factor=5))
+    return _hits(sparse.sparse_approx_search(by_token(_postings(bm, docs)), by_token(bm.query_weights(asked)), K, query_terms=5, list_depth=50, k_factor=5))
 
 
 # settings that reach a recall of 0.9; those of the query above don't (0.32 at sf0.01)
@@ -398,7 +400,7 @@ def _sparse_wide(spark, d):
     docs, bm, asked = _bm25(spark, d)
     by_token = lambda df: df.drop("term").withColumnRenamed("token", "term")  # noqa: E731  ties in the oracle are by token
     postings, weights = by_token(_postings(bm, docs)), by_token(bm.query_weights(asked))
-    return postings, weights, sparse.sparse_approx_search(sparse.ranked_postings(postings), weights, K, **_WIDE)
+    return postings, weights, sparse.sparse_approx_search(postings, weights, K, **_WIDE)
 
 
 @query(ORACLE_SQL["sparse_approx_topk"].replace("n <= 5)", "n <= 40)").replace("place <= 50 ", "place <= 10000 ").replace("r <= 50)", "r <= 100)"))

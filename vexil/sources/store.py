@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from vexil.collection import Collection, State
 from vexil.types import Metric, require
 
-FORMAT = 1
+#: Written now; folders of earlier formats are read as well.
+FORMAT, READABLE = 2, (1, 2)
 
 
 class Folder:
@@ -58,6 +59,9 @@ class Folder:
                     raise RuntimeError(f"{n} is damaged") from e
         raise RuntimeError(f"no {name} in {self.path}")
 
+    def size(self, name: str) -> int:
+        return self.fs.getContentSummary(self._p(name)).getLength() if self.exists(name) else 0
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._p(name), True)
 
@@ -77,19 +81,35 @@ def _snapshot(collection: Collection, folder: Folder, generation: int) -> None:
     state = collection._state
     folder.write("MANIFEST.json", {
         "format": FORMAT, "kind": "collection", "generation": generation, "dim": collection.dim, "metric": collection.metric.value, "custom_ids": collection.custom_ids,
-        "sparse": collection.sparse, "next_slot": state.next_slot, "next_id": state.next_id, "metadata": list(state.metadata),
+        "sparse": collection.sparse, "batches": collection.batches, "next_slot": state.next_slot, "next_id": state.next_id, "metadata": list(state.metadata),
         "index": collection.describe(folder.path) if collection.describe else None,
     })
 
 
-def load(spark: SparkSession, path: str, mapped: bool = True) -> Collection:
-    """The last snapshot; ``mapped`` leaves the rows in their files, else they are cached."""
+def _check_rows(rows: DataFrame, m: dict) -> None:
+    """What must hold of a snapshot's rows: unique ids and slots below the next ones, vectors of the right length."""
+    odd = F.lit(False)
+    if m["dim"]:
+        odd = F.coalesce(F.size("vector") != m["dim"], F.lit(True)) | F.exists("vector", lambda x: x.isNull() | F.isnan(x))
+    if m["sparse"]:
+        odd = odd | F.coalesce(F.exists("terms", lambda t: t["term"].isNull() | (t["term"] < 0) | F.isnan(t["weight"])), F.lit(False))
+    bad = F.coalesce(odd | F.col("slot").isNull() | (F.col("slot") < 0) | (F.col("slot") >= m["next_slot"]) | F.col("id").isNull() | (F.col("id") < 0) | (F.col("id") >= m["next_id"]), F.lit(True))
+    require(not rows.where(bad).limit(1).count(), "rows out of range, or vectors of another length", RuntimeError)
+    for key in ("id", "slot"):
+        require(not rows.groupBy(key).count().where("count > 1").limit(1).count(), f"a repeated {key}", RuntimeError)
+
+
+def load(spark: SparkSession, path: str, mapped: bool = True, check: bool = True) -> Collection:
+    """The last snapshot; ``mapped`` leaves the rows in their files, else they are cached. ``check`` reads them all once."""
     folder = Folder(spark, path)
     m = folder.read("MANIFEST.json")
-    require(m.get("format") == FORMAT and m.get("kind") == "collection", "not a collection of this format", RuntimeError)
+    require(m.get("format") in READABLE and m.get("kind") == "collection", "not a collection of this format", RuntimeError)
     c = Collection(spark, m["dim"], Metric(m["metric"]), m["custom_ids"], m["sparse"])
     rows = spark.read.parquet(f"{folder.path}/checkpoint-{m['generation']}")
     require({"slot", "id", *m["metadata"]} <= set(rows.columns), "columns are missing", RuntimeError)
+    if check:
+        _check_rows(rows, m)
+    c.batches, c.mapped = m.get("batches") or {}, mapped
     c._state = State(rows if mapped else rows.cache(), m["next_slot"], m["next_id"], tuple(m["metadata"]))
     return c
 
@@ -101,18 +121,23 @@ class Store:
     snapshots taken through another handle still read.
     """
 
-    def __init__(self, collection: Collection, folder: Folder, generation: int, sequence: int = 0):
-        self.collection, self.folder, self.generation, self.sequence, self.failed = collection, folder, generation, sequence, False
+    #: A checkpoint is due when the log has more bytes than this, and more than a quarter of the last checkpoint's.
+    AUTO_BYTES = 64 << 20
+
+    def __init__(self, collection: Collection, folder: Folder, generation: int, sequence: int = 0, auto: bool = True):
+        self.collection, self.folder, self.generation, self.sequence, self.failed, self.auto = collection, folder, generation, sequence, False, auto
+        collection.persist_path = folder.path
 
     @classmethod
-    def persist(cls, collection: Collection, path: str) -> Store:
+    def persist(cls, collection: Collection, path: str, sync: bool = True) -> Store:
+        """``sync`` is accepted: an entry counts when its header is renamed, which the file system makes durable."""
         folder = Folder(collection.spark, path)
         require(not folder.names(), "the folder isn't empty")
         _snapshot(collection, folder, 1)
         return cls(collection, folder, 1)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, mapped: bool = True, prepare: Callable[[Collection], object] | None = None) -> Store:
+    def open(cls, spark: SparkSession, path: str, mapped: bool = True, prepare: Callable[[Collection], object] | None = None, sync: bool = True) -> Store:
         """``prepare`` sees the collection before the log is replayed, so that an index can encode what that adds."""
         folder = Folder(spark, path)
         c = load(spark, path, mapped)
@@ -137,6 +162,8 @@ class Store:
         df = c.spark.read.parquet(self._data(sequence)) if entry["data"] else None
         if op == "add":
             added = c.add(df.orderBy("__order").drop("__order"))
+            if entry.get("stream") is not None:
+                c.batches[entry["stream"]] = entry["batch"]
             return added
         if op == "remove":
             return c.remove(df)
@@ -155,7 +182,11 @@ class Store:
         require(not self.failed, "an earlier write failed; open the store again", RuntimeError)
         sequence = self.sequence + 1
         if df is not None:
-            df.write.mode("overwrite").parquet(self._data(sequence))
+            try:
+                df.write.mode("overwrite").parquet(self._data(sequence))
+            except Exception:
+                self.failed = True
+                raise
         entry["data"] = df is not None
         out = self._apply(entry, sequence)
         try:
@@ -164,13 +195,22 @@ class Store:
             self.failed = True
             raise
         self.sequence = sequence
+        if self.auto and self._log_bytes() > max(self.AUTO_BYTES, self.folder.size(f"checkpoint-{self.generation}") // 4):
+            self.checkpoint()
         return out
 
-    def add(self, df: DataFrame) -> DataFrame:
-        return self._logged({"op": "add"}, df.withColumn("__order", F.monotonically_increasing_id()))
+    def _log_bytes(self) -> int:
+        return sum(self.folder.size(n) for n in self.folder.names() if n.startswith(f"log-{self.generation}-"))
+
+    def add(self, df: DataFrame, stream: str | None = None, batch: int = 0) -> DataFrame | None:
+        """``stream`` and ``batch`` name a micro-batch: one that was added before is not added again."""
+        if stream is not None and self.collection.batches.get(stream, -1) >= batch:
+            return None
+        return self._logged({"op": "add", "stream": stream, "batch": batch}, df.withColumn("__order", F.monotonically_increasing_id()))
 
-    def remove(self, ids: list[int]) -> int:
-        return self._logged({"op": "remove"}, self.collection.spark.createDataFrame([(int(i),) for i in ids], "id long"))
+    def remove(self, ids: list[int] | DataFrame) -> int:
+        gone = ids.select("id").distinct() if isinstance(ids, DataFrame) else self.collection.spark.createDataFrame([(int(i),) for i in set(ids)], "id long")
+        return self._logged({"op": "remove"}, gone)
 
     def update_metadata(self, df: DataFrame) -> None:
         self._logged({"op": "update_metadata"}, df)
@@ -189,7 +229,7 @@ class Store:
         old = self.generation
         _snapshot(self.collection, self.folder, old + 1)
         self.generation, self.sequence = old + 1, 0
-        self.collection._state = load(self.collection.spark, self.folder.path)._state
+        self.collection._state = load(self.collection.spark, self.folder.path, check=False)._state
         for n in self.folder.names():
             if n == f"checkpoint-{old}" or n.startswith(f"log-{old}-"):
                 self.folder.delete(n)
