@@ -222,7 +222,7 @@ def _term_rows(spark, d) -> DataFrame:
     """Every fourth document's term counts; terms are 31-bit hashes, which don't collide in these tables' words."""
     docs = sparse.BM25.terms(_read(spark, d, "documents").where("doc_id % 4 = 0"))
     counted = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").cast("long").alias("n_chars"), F.explode("terms").alias("term")).groupBy("id", "n_chars", "term").count()
-    return counted.groupBy("id", "n_chars").agg(F.collect_list(F.struct("term", F.col("count").cast("double").alias("weight"))).alias("terms"))
+    return counted.groupBy("id", "n_chars").agg(F.collect_list(F.struct("term", F.col("count").cast("double").alias("weight"))).alias("terms")).orderBy("id")
 
 
 def _sparse_index(spark, d):
