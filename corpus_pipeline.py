@@ -7,7 +7,9 @@
 5. Best-fit packing: the documents become token sequences.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents``.  An empty table gives
+an empty table.  Null and repeated ids keep their rows, but where a stage's text
+says otherwise; columns beyond those of ``documents`` pass through all but the last.
 """
 
 from __future__ import annotations
@@ -24,29 +26,35 @@ from vexil.llm.simhash import keep_representatives
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what is in one of the languages that the documents' own ``lang`` names."""
+    """Keep what is in one of the languages that the documents' own ``lang`` names.
+
+    Meant to go: null texts, texts without a letter, and texts of no learned language; the given tables hold next to none.
+    """
     return keep_identified(docs, fit_languages(docs, F.lit(True)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what a rule ensemble, learned from ``labels``, finds good."""
+    """Keep what a rule ensemble, learned from ``labels``, finds good: rows scored 0.5 or more, null and empty texts like any other."""
     return keep_good(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of fingerprints within four bits."""
+    """Keep one row of each group of fingerprints within four bits: the smallest id's, rows without an id last.
+
+    Rows with one id and different texts are different documents; null and empty texts are one group.
+    """
     return keep_representatives(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask every span that the scan finds; ``n_chars`` follows the text."""
+    """Mask every span that the scan finds; ``n_chars`` follows the text, a null text stays null and counts 0."""
     masked = mask_secrets(docs)
     kind = docs.schema["n_chars"].dataType
     return masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(kind))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2,048 tokens of the public word BPE."""
+    """Sequences of 2,048 tokens of the public word BPE; a null text is packed as an empty one."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
