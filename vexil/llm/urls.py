@@ -92,22 +92,23 @@ def _templates(known: DataFrame, children: int, spread: float) -> DataFrame:
 def _grouped(units: DataFrame) -> DataFrame:
     """Units with g_bad and g_seen, what their group of similar siblings counts, and how many groups (g) and units (m) their parent has."""
     # siblings with the same counts are alike without a test
-    classes = units.groupBy("host", "up", "bad", "seen").agg(F.count(F.lit(1)).alias("m"))
+    classes = materialize(units.groupBy("host", "up", "bad", "seen").agg(F.count(F.lit(1)).alias("m")))
     order = Window.partitionBy("host", "up").orderBy(F.col("bad") / F.col("seen"), "seen", "bad")
     last = lambda c: F.lag(c).over(order)
     pooled = (F.col("bad") + last("bad")) / (F.col("seen") + last("seen"))
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("seen") + 1 / last("seen")))
     differs = F.abs(F.col("bad") / F.col("seen") - last("bad") / last("seen")) > F.lit(1.96) * error
     labelled = classes.where("seen > 0").withColumn("differs", F.coalesce(differs, F.lit(False)).cast("int"))
-    labelled = labelled.withColumn("part", F.sum("differs").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    labelled = materialize(labelled.withColumn("part", F.sum("differs").over(order.rowsBetween(Window.unboundedPreceding, 0))))
     parts = labelled.groupBy("host", "up", "part").agg(F.sum(F.col("bad") * F.col("m")).alias("g_bad"), F.sum(F.col("seen") * F.col("m")).alias("g_seen"))
     seen = labelled.join(parts, ["host", "up", "part"]).select("host", "up", "bad", "seen", "m", "part", "g_bad", "g_seen")
     both = classes.where("seen = 0").select("*", *(F.lit(None).cast("long").alias(c) for c in ("part", "g_bad", "g_seen"))).unionByName(seen)
+    both = materialize(both)
     parents = both.groupBy("host", "up").agg(
         F.sum("m").alias("units"), (F.coalesce(F.max("part"), F.lit(-1)) + 1).alias("groups"),
         F.sum(F.col("bad") * F.col("m")).alias("u_bad"), F.sum(F.col("seen") * F.col("m")).alias("u_seen"),
     )
-    both = lookup(both, parents, ["host", "up"], "units").select(
+    both = lookup(both, materialize(parents), ["host", "up"], "units").select(
         "host", "up", "bad", "seen", "m", "units", "groups", F.coalesce("g_bad", "u_bad").alias("g_bad"), F.coalesce("g_seen", "u_seen").alias("g_seen")
     )
     return lookup(units, materialize(both), ["host", "up", "bad", "seen"], "m").drop("m")
@@ -129,7 +130,7 @@ def _branches(tally: DataFrame) -> tuple[DataFrame, DataFrame]:
         place = lookup(place, to, ["host", "node"], "n").select("host", "template", F.coalesce("to", "node").alias("node"))
         up = F.when(merged, F.coalesce(above(F.col("up")), F.lit("<none>"))).otherwise(F.col("up"))
         place = materialize(place)
-        units = units.select("host", name.alias("node"), up.alias("up"), "bad", "seen", "n").groupBy("host", "node", "up").agg(*(F.sum(c).alias(c) for c in ("bad", "seen", "n")))
+        units = materialize(units.select("host", name.alias("node"), up.alias("up"), "bad", "seen", "n").groupBy("host", "node", "up").agg(*(F.sum(c).alias(c) for c in ("bad", "seen", "n"))))
 
 
 def judge_urls(
@@ -157,7 +158,7 @@ def judge_urls(
     place, units = _branches(tally)
     over = units.groupBy("node").agg(F.sum("bad").alias("t_bad"), F.sum("seen").alias("t_seen"), F.sum("n").alias("t_n"))
     every = tally.agg(((F.coalesce(F.sum("bad"), F.lit(0))) / F.greatest(F.coalesce(F.sum("seen"), F.lit(0)), F.lit(1))).alias("share"))
-    judged = lookup(units, over, ["node"], "t_n").crossJoin(F.broadcast(every))  # one row
+    judged = lookup(units, materialize(over), ["node"], "t_n").crossJoin(F.broadcast(every))  # one row
     # what other hosts tell about the branch, itself smoothed
     prior = (F.col("t_bad") - F.col("bad") + F.lit(strength) * F.col("share")) / (F.col("t_seen") - F.col("seen") + F.lit(strength))
     purity = (F.col("g_bad") + F.lit(strength) * prior) / (F.col("g_seen") + F.lit(strength))
