@@ -32,6 +32,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``materialize``, then no more partitions than one for each ``rows`` rows.
+
+    Grouping and joining tables of one partition moves nothing, which matters where a loop
+    passes over small tables; larger ones keep the partitions they have up to that number.
+    """
+    out = materialize(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it again; for wide rows such as texts."""
     spark = df.sparkSession

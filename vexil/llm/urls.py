@@ -21,7 +21,8 @@ is towards the same branch of other hosts, and that towards all labelled URLs.
 
 Joins that look up a node, template or path have the hot keys in a broadcast
 table of at most ``_join.HOT`` rows; no other key then has more than 1 / HOT of
-the rows.
+the rows.  Tables that a count shows to be small lie in few partitions, so that
+the passes over levels and branches move no rows.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
 no rule, and the verdict of the template of those; repeated and null ids keep
@@ -36,13 +37,16 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vexil.llm._join import lookup
-from vexil.llm._store import materialize
+from vexil.llm import _join
+from vexil.llm._store import settle
 
 # The rules of op1.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+lookup = functools.partial(_join.lookup, counted=True)
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     at = F.instr(url, "://")
@@ -76,12 +80,12 @@ def _templates(known: DataFrame, children: int, spread: float) -> DataFrame:
         segment = F.get("shapes", F.lit(level))
         kinds = now.groupBy("host", "prefix", segment.alias("segment")).agg(F.count(F.lit(1)).alias("paths"))
         nodes = kinds.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("k"), F.sum("paths").alias("paths"))
-        nodes = materialize(nodes.select("host", "prefix", ((F.col("k") >= children) & (F.col("k") >= spread * F.col("paths"))).alias("varies"), "paths"))
+        nodes = settle(nodes.select("host", "prefix", ((F.col("k") >= children) & (F.col("k") >= spread * F.col("paths"))).alias("varies"), "paths"))
         join = lambda *parts: F.concat_ws("/", F.when(F.length("prefix") > 0, F.col("prefix")), *parts)
         here = lookup(now, nodes, ["host", "prefix"], "paths")
         alone, step = F.col("paths") == 1, F.when(F.col("varies"), F.lit("*")).otherwise(segment)
         rest = join(F.array_join(F.slice("shapes", level + 1, F.greatest(F.size("shapes") - level, F.lit(1))), "/"))
-        here = materialize(here.select(*kept, "shapes", F.when(alone, rest).otherwise(join(step)).alias("prefix"), (alone | (F.size("shapes") <= level + 1)).alias("done")))
+        here = settle(here.select(*kept, "shapes", F.when(alone, rest).otherwise(join(step)).alias("prefix"), (alone | (F.size("shapes") <= level + 1)).alias("done")))
         ready.append(here.where("done").select(*kept, F.col("prefix").alias("template")))
         now, level = here.where("not done").drop("done"), level + 1
         if now.isEmpty():
@@ -92,26 +96,26 @@ def _templates(known: DataFrame, children: int, spread: float) -> DataFrame:
 def _grouped(units: DataFrame) -> DataFrame:
     """Units with g_bad and g_seen, what their group of similar siblings counts, and how many groups (g) and units (m) their parent has."""
     # siblings with the same counts are alike without a test
-    classes = materialize(units.groupBy("host", "up", "bad", "seen").agg(F.count(F.lit(1)).alias("m")))
+    classes = settle(units.groupBy("host", "up", "bad", "seen").agg(F.count(F.lit(1)).alias("m")))
     order = Window.partitionBy("host", "up").orderBy(F.col("bad") / F.col("seen"), "seen", "bad")
     last = lambda c: F.lag(c).over(order)
     pooled = (F.col("bad") + last("bad")) / (F.col("seen") + last("seen"))
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("seen") + 1 / last("seen")))
     differs = F.abs(F.col("bad") / F.col("seen") - last("bad") / last("seen")) > F.lit(1.96) * error
     labelled = classes.where("seen > 0").withColumn("differs", F.coalesce(differs, F.lit(False)).cast("int"))
-    labelled = materialize(labelled.withColumn("part", F.sum("differs").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    labelled = settle(labelled.withColumn("part", F.sum("differs").over(order.rowsBetween(Window.unboundedPreceding, 0))))
     parts = labelled.groupBy("host", "up", "part").agg(F.sum(F.col("bad") * F.col("m")).alias("g_bad"), F.sum(F.col("seen") * F.col("m")).alias("g_seen"))
     seen = labelled.join(parts, ["host", "up", "part"]).select("host", "up", "bad", "seen", "m", "part", "g_bad", "g_seen")
     both = classes.where("seen = 0").select("*", *(F.lit(None).cast("long").alias(c) for c in ("part", "g_bad", "g_seen"))).unionByName(seen)
-    both = materialize(both)
+    both = settle(both)
     parents = both.groupBy("host", "up").agg(
         F.sum("m").alias("units"), (F.coalesce(F.max("part"), F.lit(-1)) + 1).alias("groups"),
         F.sum(F.col("bad") * F.col("m")).alias("u_bad"), F.sum(F.col("seen") * F.col("m")).alias("u_seen"),
     )
-    both = lookup(both, materialize(parents), ["host", "up"], "units").select(
+    both = lookup(both, settle(parents), ["host", "up"], "units").select(
         "host", "up", "bad", "seen", "m", "units", "groups", F.coalesce("g_bad", "u_bad").alias("g_bad"), F.coalesce("g_seen", "u_seen").alias("g_seen")
     )
-    return lookup(units, materialize(both), ["host", "up", "bad", "seen"], "m").drop("m")
+    return lookup(units, settle(both), ["host", "up", "bad", "seen"], "m").drop("m")
 
 
 def _branches(tally: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +125,7 @@ def _branches(tally: DataFrame) -> tuple[DataFrame, DataFrame]:
     units = tally.select("host", node.alias("node"), F.coalesce(above(node), F.lit("<none>")).alias("up"), "bad", "seen", "n")
     place = tally.select("host", "template", F.col("template").alias("node"))
     while True:
-        units = materialize(_grouped(units))
+        units = settle(_grouped(units))
         merged = (F.col("units") > 1) & (F.col("groups") <= 1) & (F.col("up") != "<none>")
         if units.where(merged).isEmpty():
             return place, units
@@ -129,8 +133,8 @@ def _branches(tally: DataFrame) -> tuple[DataFrame, DataFrame]:
         to = units.where(merged).select("host", "node", name.alias("to"), "n")
         place = lookup(place, to, ["host", "node"], "n").select("host", "template", F.coalesce("to", "node").alias("node"))
         up = F.when(merged, F.coalesce(above(F.col("up")), F.lit("<none>"))).otherwise(F.col("up"))
-        place = materialize(place)
-        units = materialize(units.select("host", name.alias("node"), up.alias("up"), "bad", "seen", "n").groupBy("host", "node", "up").agg(*(F.sum(c).alias(c) for c in ("bad", "seen", "n"))))
+        place = settle(place)
+        units = settle(units.select("host", name.alias("node"), up.alias("up"), "bad", "seen", "n").groupBy("host", "node", "up").agg(*(F.sum(c).alias(c) for c in ("bad", "seen", "n"))))
 
 
 def judge_urls(
@@ -149,8 +153,8 @@ def judge_urls(
     ruled = rule_of(F.col("host"), F.col("path"), rules)
     known = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("label", ruled["verdict"])
     shapes = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _shape)
-    known = materialize(_templates(materialize(known.withColumn("shapes", shapes)), children, spread))
-    tally = materialize(known.groupBy("host", "template").agg(
+    known = settle(_templates(settle(known.withColumn("shapes", shapes)), children, spread))
+    tally = settle(known.groupBy("host", "template").agg(
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("label") == "block", F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).alias("seen"),
@@ -158,14 +162,14 @@ def judge_urls(
     place, units = _branches(tally)
     over = units.groupBy("node").agg(F.sum("bad").alias("t_bad"), F.sum("seen").alias("t_seen"), F.sum("n").alias("t_n"))
     every = tally.agg(((F.coalesce(F.sum("bad"), F.lit(0))) / F.greatest(F.coalesce(F.sum("seen"), F.lit(0)), F.lit(1))).alias("share"))
-    judged = lookup(units, materialize(over), ["node"], "t_n").crossJoin(F.broadcast(every))  # one row
+    judged = lookup(units, settle(over), ["node"], "t_n").crossJoin(F.broadcast(every))  # one row
     # what other hosts tell about the branch, itself smoothed
     prior = (F.col("t_bad") - F.col("bad") + F.lit(strength) * F.col("share")) / (F.col("t_seen") - F.col("seen") + F.lit(strength))
     purity = (F.col("g_bad") + F.lit(strength) * prior) / (F.col("g_seen") + F.lit(strength))
-    verdicts = materialize(judged.select("host", "node", purity.alias("purity"), "n"))
+    verdicts = settle(judged.select("host", "node", purity.alias("purity"), "n"))
     named = lookup(place, verdicts, ["host", "node"], "n").select("host", "template", F.col("node").alias("branch"), "purity")
-    weighed = materialize(lookup(named, tally.select("host", "template", "n"), ["host", "template"], "n"))
-    by_path = materialize(lookup(known.select("host", "path", "template", F.col("n").alias("hits")), weighed, ["host", "template"], "n").drop("n"))
+    weighed = settle(lookup(named, tally.select("host", "template", "n"), ["host", "template"], "n"))
+    by_path = settle(lookup(known.select("host", "path", "template", F.col("n").alias("hits")), weighed, ["host", "template"], "n").drop("n"))
     answer = lookup(rows, by_path, ["host", "path"], "hits").withColumn("ruled", ruled)
     return answer.select(
         "page_id", "host", "path", F.col("ruled.rule").alias("rule"),
