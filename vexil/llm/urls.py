@@ -95,35 +95,32 @@ def _templates(known: DataFrame, children: int, spread: float) -> DataFrame:
 
 def _grouped(units: DataFrame) -> DataFrame:
     """Units with g_bad and g_seen, what their group of similar siblings counts, and how many groups (g) and units (m) their parent has."""
-    # siblings with the same counts are alike without a test
-    classes = settle(units.groupBy("host", "up", "bad", "seen").agg(F.count(F.lit(1)).alias("m")))
-    order = Window.partitionBy("host", "up").orderBy(F.col("bad") / F.col("seen"), "seen", "bad")
+    # siblings with the same counts are alike without a test; a parent has far fewer such classes than labelled URLs
+    classes = units.groupBy("host", "up", "bad", "seen").agg(F.count(F.lit(1)).alias("m")).withColumn("labelled", F.col("seen") > 0)
+    share = F.col("bad") / F.greatest(F.col("seen"), F.lit(1))
+    order = Window.partitionBy("host", "up", "labelled").orderBy(share, "seen", "bad")
     last = lambda c: F.lag(c).over(order)
     pooled = (F.col("bad") + last("bad")) / (F.col("seen") + last("seen"))
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("seen") + 1 / last("seen")))
-    differs = F.abs(F.col("bad") / F.col("seen") - last("bad") / last("seen")) > F.lit(1.96) * error
-    labelled = classes.where("seen > 0").withColumn("differs", F.coalesce(differs, F.lit(False)).cast("int"))
-    labelled = settle(labelled.withColumn("part", F.sum("differs").over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    parts = labelled.groupBy("host", "up", "part").agg(F.sum(F.col("bad") * F.col("m")).alias("g_bad"), F.sum(F.col("seen") * F.col("m")).alias("g_seen"))
-    seen = labelled.join(parts, ["host", "up", "part"]).select("host", "up", "bad", "seen", "m", "part", "g_bad", "g_seen")
-    both = classes.where("seen = 0").select("*", *(F.lit(None).cast("long").alias(c) for c in ("part", "g_bad", "g_seen"))).unionByName(seen)
-    both = settle(both)
-    parents = both.groupBy("host", "up").agg(
-        F.sum("m").alias("units"), (F.coalesce(F.max("part"), F.lit(-1)) + 1).alias("groups"),
-        F.sum(F.col("bad") * F.col("m")).alias("u_bad"), F.sum(F.col("seen") * F.col("m")).alias("u_seen"),
-    )
-    both = lookup(both, settle(parents), ["host", "up"], "units").select(
-        "host", "up", "bad", "seen", "m", "units", "groups", F.coalesce("g_bad", "u_bad").alias("g_bad"), F.coalesce("g_seen", "u_seen").alias("g_seen")
-    )
-    return lookup(units, settle(both), ["host", "up", "bad", "seen"], "m").drop("m")
+    differs = F.abs(share - last("bad") / last("seen")) > F.lit(1.96) * error
+    classes = classes.withColumn("differs", F.when(F.col("labelled"), F.coalesce(differs, F.lit(False)).cast("int")))
+    classes = classes.withColumn("part", F.sum("differs").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    family = Window.partitionBy("host", "up")
+    alike = Window.partitionBy("host", "up", "labelled", "part")
+    total = lambda c: F.sum(F.col(c) * F.col("m"))
+    both = settle(classes.select(
+        "host", "up", "bad", "seen", "m", F.sum("m").over(family).alias("units"), (F.coalesce(F.max("part").over(family), F.lit(-1)) + 1).alias("groups"),
+        *(F.when(F.col("labelled"), total(c).over(alike)).otherwise(total(c).over(family)).alias(f"g_{c}") for c in ("bad", "seen")),
+    ))
+    return lookup(units, both, ["host", "up", "bad", "seen"], "m").drop("m")
 
 
 def _branches(tally: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, template, node) and (host, node, bad, seen, n, g_bad, g_seen): each template's branch, and what it counts."""
+    """(host, template, node, hits) and (host, node, bad, seen, n, g_bad, g_seen): each template's branch, and what it counts."""
     above = lambda c: F.when(F.length(c) == 0, F.lit(None)).otherwise(F.regexp_replace(c, "/?[^/]*$", ""))
     node = F.col("template")
     units = tally.select("host", node.alias("node"), F.coalesce(above(node), F.lit("<none>")).alias("up"), "bad", "seen", "n")
-    place = tally.select("host", "template", F.col("template").alias("node"))
+    place = tally.select("host", "template", F.col("template").alias("node"), F.col("n").alias("hits"))
     while True:
         units = settle(_grouped(units))
         merged = (F.col("units") > 1) & (F.col("groups") <= 1) & (F.col("up") != "<none>")
@@ -131,7 +128,7 @@ def _branches(tally: DataFrame) -> tuple[DataFrame, DataFrame]:
             return place, units
         name = F.when(merged, F.concat("up", F.lit("/**"))).otherwise(F.col("node"))
         to = units.where(merged).select("host", "node", name.alias("to"), "n")
-        place = lookup(place, to, ["host", "node"], "n").select("host", "template", F.coalesce("to", "node").alias("node"))
+        place = lookup(place, to, ["host", "node"], "n").select("host", "template", F.coalesce("to", "node").alias("node"), "hits")
         up = F.when(merged, F.coalesce(above(F.col("up")), F.lit("<none>"))).otherwise(F.col("up"))
         place = settle(place)
         units = settle(units.select("host", name.alias("node"), up.alias("up"), "bad", "seen", "n").groupBy("host", "node", "up").agg(*(F.sum(c).alias(c) for c in ("bad", "seen", "n"))))
@@ -153,7 +150,7 @@ def judge_urls(
     ruled = rule_of(F.col("host"), F.col("path"), rules)
     known = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("label", ruled["verdict"])
     shapes = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _shape)
-    known = settle(_templates(settle(known.withColumn("shapes", shapes)), children, spread))
+    known = _templates(settle(known.withColumn("shapes", shapes)), children, spread)
     tally = settle(known.groupBy("host", "template").agg(
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("label") == "block", F.col("n")).otherwise(0)).alias("bad"),
@@ -167,8 +164,7 @@ def judge_urls(
     prior = (F.col("t_bad") - F.col("bad") + F.lit(strength) * F.col("share")) / (F.col("t_seen") - F.col("seen") + F.lit(strength))
     purity = (F.col("g_bad") + F.lit(strength) * prior) / (F.col("g_seen") + F.lit(strength))
     verdicts = settle(judged.select("host", "node", purity.alias("purity"), "n"))
-    named = lookup(place, verdicts, ["host", "node"], "n").select("host", "template", F.col("node").alias("branch"), "purity")
-    weighed = settle(lookup(named, tally.select("host", "template", "n"), ["host", "template"], "n"))
+    weighed = settle(lookup(place, verdicts, ["host", "node"], "n").select("host", "template", F.col("node").alias("branch"), "purity", F.col("hits").alias("n")))
     by_path = settle(lookup(known.select("host", "path", "template", F.col("n").alias("hits")), weighed, ["host", "template"], "n").drop("n"))
     answer = lookup(rows, by_path, ["host", "path"], "hits").withColumn("ruled", ruled)
     return answer.select(
