@@ -6,9 +6,9 @@ word, where each distinct word of the corpus is encoded once, and the ids go
 back to the blocks that asked.  In its block a document is its words' ids by
 position.  What is shuffled (texts, words, ids) travels as compressed fragments
 of a task's output for one receiver.
-Decoding is a lookup of each id in the table of the vocabulary's pieces (its
-size is the tokenizer's, whatever the corpus); word by word, since a word's
-pieces never change.
+Decoding joins each of a document's ids with the table of the vocabulary's pieces,
+which every task holds (its size is the tokenizer's, whatever the corpus), by the
+id's position there.
 
 The documents are shuffled once: both the words and the final step read the same
 exchange.  No table of words is broadcast or collected.
@@ -21,6 +21,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -130,39 +131,22 @@ def _assemble(path: str, digest: bool, parts: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, table: pa.Table) -> pa.Table:
         encoder = remembering(path).encoder
         if encoder.tokenizer.decoder is not None:
-            raise ValueError("decoding word by word needs a tokenizer whose decoding joins pieces by a blank")
-        piece, number = pieces(path), [b"%d" % i for i in range(len(pieces(path)))]
+            raise ValueError("decoding needs a tokenizer that joins pieces by a blank")
+        piece = pieces(path)
+        number = [b"%d" % i for i in range(len(piece))]
         asked = _by_part(encoder.split_words, docs.column("blob"), parts)
-        numbers: dict[bytes, bytes] = {}
-        texts: dict[bytes, bytes] = {}
-        raw: dict[bytes, np.ndarray] = {}
-        empty = False
+        of: dict[bytes, list[int]] = {}
         for part, blob in zip(table.column("part").to_pylist(), table.column("answer")):
-            for word, ids in zip(asked[part], _answer(blob.as_buffer().to_pybytes())):
-                at = ids.tolist()
-                empty |= not at
-                if digest:
-                    numbers[word] = b" ".join([number[i] for i in at])
-                else:
-                    raw[word] = ids
-                texts[word] = b" ".join([piece[i] for i in at])
+            of.update(zip(asked[part], (ids.tolist() for ids in _answer(blob.as_buffer().to_pybytes()))))
         names_, out_n, out_ids, out_text = [], [], [], []
         for name, text in _documents(docs.column("blob")):
-            words = encoder.split_words(text)
-            if empty:
-                words = [w for w in words if texts[w]]
-            decoded = b" ".join(map(texts.__getitem__, words))
+            ids = list(itertools.chain.from_iterable(map(of.__getitem__, encoder.split_words(text))))
+            # decoding sees the ids only, not the words they come from
+            decoded = b" ".join(map(piece.__getitem__, ids))
             names_.append(name)
-            if digest:
-                spelled = b" ".join(map(numbers.__getitem__, words))
-                out_n.append(spelled.count(b" ") + 1 if spelled else 0)
-                out_ids.append(hashlib.sha256(spelled).hexdigest())
-                out_text.append(hashlib.sha256(decoded).hexdigest())
-            else:
-                ids = np.concatenate([np.zeros(0, np.uint32), *map(raw.__getitem__, words)]).astype(np.int32)
-                out_n.append(len(ids))
-                out_ids.append(ids)
-                out_text.append(decoded.decode())
+            out_n.append(len(ids))
+            out_ids.append(hashlib.sha256(b" ".join(map(number.__getitem__, ids))).hexdigest() if digest else np.array(ids, np.int32))
+            out_text.append(hashlib.sha256(decoded).hexdigest() if digest else decoded.decode())
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "n_tokens", "ids", "decoded"]
         kinds = [pa.int64(), pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string()]
         columns = [names_, out_n, out_ids, out_text]
