@@ -24,7 +24,8 @@ import hashlib
 import itertools
 import math
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,20 +68,20 @@ def _documents(blobs: pa.ChunkedArray) -> Iterator[tuple[int | None, bytes]]:
                     yield name, text.as_buffer().to_pybytes()
 
 
-def _by_part(split, blobs: pa.ChunkedArray, parts: int) -> list[list[bytes]]:
-    """The distinct words of a block's documents, sorted, by the hash that tells where they are encoded."""
-    seen: set[bytes] = set()
-    for _, text in _documents(blobs):
-        seen.update(split(text))
+def _by_part(words: Iterable[bytes], parts: int) -> list[list[bytes]]:
+    """Distinct words, sorted, by the hash that tells where they are encoded."""
     out: list[list[bytes]] = [[] for _ in range(parts)]
-    for word in sorted(seen):
+    for word in sorted(words):
         out[zlib.crc32(word) % parts].append(word)
     return out
 
 
 def _distinct_words(path: str, parts: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
-        found = _by_part(remembering(path).encoder.split_words, docs.column("blob"), parts)
+        split, seen = remembering(path).encoder.split_words, set()
+        for _, text in _documents(docs.column("blob")):
+            seen.update(split(text))
+        found = _by_part(seen, parts)
         some = [p for p in range(parts) if found[p]]
         return pa.table(
             {
@@ -134,13 +135,21 @@ def _assemble(path: str, digest: bool, parts: int):
             raise ValueError("decoding needs a tokenizer that joins pieces by a blank")
         piece = pieces(path)
         number = [b"%d" % i for i in range(len(piece))]
-        asked = _by_part(encoder.split_words, docs.column("blob"), parts)
-        of: dict[bytes, list[int]] = {}
+        # a text is split once: what is kept of it are its words' numbers in the block
+        at: defaultdict[bytes, int] = defaultdict()
+        at.default_factory = at.__len__
+        texts = []
+        for name, text in _documents(docs.column("blob")):
+            words = encoder.split_words(text)
+            texts.append((name, np.fromiter(map(at.__getitem__, words), np.int32, len(words))))
+        asked = _by_part(at, parts)
+        of: list[list[int]] = [[]] * len(at)
         for part, blob in zip(table.column("part").to_pylist(), table.column("answer")):
-            of.update(zip(asked[part], (ids.tolist() for ids in _answer(blob.as_buffer().to_pybytes()))))
+            for word, ids in zip(asked[part], _answer(blob.as_buffer().to_pybytes()), strict=True):
+                of[at[word]] = ids.tolist()
         names_, out_n, out_ids, out_text = [], [], [], []
-        for name, text in _documents(docs.column("blob")):
-            ids = list(itertools.chain.from_iterable(map(of.__getitem__, encoder.split_words(text))))
+        for name, words in texts:
+            ids = list(itertools.chain.from_iterable(map(of.__getitem__, words.tolist())))
             # decoding sees the ids only, not the words they come from
             decoded = b" ".join(map(piece.__getitem__, ids))
             names_.append(name)
