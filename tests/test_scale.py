@@ -1,9 +1,12 @@
 """Searches whose memory and shuffle must not grow with the square of their input."""
 
+import tracemalloc
+
 import numpy as np
 
 from vexil.indexes import make_index
-from vexil.operators import sparse
+from vexil.operators import search, sparse
+from vexil.types import Metric
 
 TERMS = "array<struct<term:bigint,weight:double>>"
 
@@ -52,3 +55,50 @@ def test_all_lists_of_a_sparse_index(spark):
     asked = rows.withColumnRenamed("id", "qid")
     both = [sorted(map(tuple, i.batch_query(asked, 7).collect())) for i in (exact, approx)]
     assert both[0] == both[1] and joins(approx.batch_query(asked, 7)) == joins(approx.rows)
+
+
+def test_distances_held_at_once():
+    """A block of queries against a batch of rows: not all their distances at once."""
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(4000, 4)), rng.normal(size=(5000, 4))
+    tracemalloc.start()
+    for i, (at, d) in enumerate(search.nearest(Metric.L2, q, x, np.arange(5000), 3)):
+        if i % 997 == 0:
+            want = ((x - q[i]) ** 2).sum(axis=1)
+            assert at.tolist() == np.argsort(want)[:3].tolist() and np.allclose(d, want[at])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert i == 3999 and peak < 80e6  # all distances once are 160 MB
+
+
+def test_inverted_file_without_joins(spark):
+    """As many lists as a fifth of the rows, ties among centroids and rows; nothing is joined."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 4, size=(300, 4)).astype(float)
+    c = np.concatenate([x[::5], x[:3]])
+    rows = spark.createDataFrame([(i, i, v.tolist(), i % 9) for i, v in enumerate(x)], "slot long, id long, vector array<double>, kind int")
+    asked = rows.where("id % 30 = 0").selectExpr("id as qid", "vector")
+    assigned = search.assign_lists(rows, c)
+    to = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+    own = to.argmin(axis=1)
+    assert {r["id"]: r["list"] for r in assigned.collect()} == dict(enumerate(own.tolist()))
+
+    def want(q, lists, ok, k):
+        at = np.flatnonzero(np.isin(own, lists) & ok)
+        d = ((x[at] - x[q]) ** 2).sum(axis=1)
+        return [(q, r + 1, int(at[i]), float(d[i])) for r, i in enumerate(np.lexsort((at, d))[:k])]
+
+    every, queries = np.ones(300, bool), range(0, 300, 30)
+    near = lambda q, n: np.lexsort((np.arange(len(c)), to[q]))[:n]
+    for nprobe in (4, len(c)):
+        hits = search.ivf_search(assigned, asked, c, 6, nprobe)
+        assert joins(hits) == 0
+        assert sorted(map(tuple, hits.collect())) == [w for q in queries for w in want(q, near(q, nprobe), every, 6)]
+    probed = search.probe(asked, c, 3).collect()
+    assert sorted((r["qid"], r["place"], r["list"]) for r in probed) == [(q, p, int(w)) for q in queries for p, w in enumerate(near(q, 3))]
+    kind = np.arange(300) % 9 == 2
+    here = np.bincount(own[kind], minlength=len(c))
+    least = min(len(c), max(2, int(np.ceil(0.75 * 2 * (300 / kind.sum()) ** (1 / 3)))))
+    hits = search.ivf_filtered_search(assigned, assigned.where("kind = 2"), asked, c, 20, 2)
+    lists = {q: [w for p, w in enumerate(near(q, len(c))) if p < least or here[near(q, p)].sum() < min(20, kind.sum())] for q in queries}
+    assert joins(hits) == 0 and sorted(map(tuple, hits.collect())) == [w for q in queries for w in want(q, lists[q], kind, 20)]
