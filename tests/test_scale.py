@@ -3,8 +3,10 @@
 import tracemalloc
 
 import numpy as np
+import pytest
 
-from vexil.indexes import make_index
+from vexil.functions.kernels import normalized
+from vexil.indexes import RefineIndex, make_index
 from vexil.operators import search, sparse
 from vexil.types import Metric
 
@@ -102,3 +104,35 @@ def test_inverted_file_without_joins(spark):
     hits = search.ivf_filtered_search(assigned, assigned.where("kind = 2"), asked, c, 20, 2)
     lists = {q: [w for p, w in enumerate(near(q, len(c))) if p < least or here[near(q, p)].sum() < min(20, kind.sum())] for q in queries}
     assert joins(hits) == 0 and sorted(map(tuple, hits.collect())) == [w for q in queries for w in want(q, lists[q], kind, 20)]
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_completed_answers(spark, metric):
+    """Too narrow a beam, too few candidates: told to complete its answers, an index gives the exact ones."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(400, 8)) * rng.integers(1, 4, size=(400, 1)), 2, axis=0).astype(np.float32).astype(float)  # every row twice
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, vector array<double>, kind long")
+    graph = make_index(spark, "hnsw", 8, custom_ids=True, metric=metric, hnsw_m=2, ef_construction=2, ef_search=1)
+    codes = RefineIndex(make_index(spark, "ivf", 8, custom_ids=True, metric=metric, nprobe=1, pq_subspaces=2, pq_centroids=4), 1)
+    codes.train(rows)
+    for index in (graph, codes):
+        index.add(rows)
+        index.exact = True
+        held = index.rows.select(index.rows.id.alias("qid"), "vector").where("qid % 50 = 0")
+        v = search.as_matrix(index.rows.orderBy("id").select("vector").toArrow().column(0), 8)
+        v = search.unit_rows(v) if metric == Metric.COSINE else v
+        for where, ok in ((None, np.arange(800) >= 0), ("kind = 1", np.arange(800) % 3 == 1)):
+            got = {(r["qid"], r["rank"]): r["id"] for r in index.batch_query(held, 10, where).collect()}
+            for q in range(0, 800, 50):
+                d = np.where(ok, search.exact(metric, v[q], v), np.inf)
+                assert [got[q, r + 1] for r in range(10)] == np.lexsort((np.arange(800), d))[:10].tolist()
+    with pytest.raises(ValueError):
+        codes.base.exact = True
+
+
+def test_a_norm_is_computed_once(spark):
+    """Not once for every component."""
+    df = spark.createDataFrame([([3.0, 4.0],)], "v array<double>")
+    plan = df.select(normalized(df.v).alias("u"))
+    assert plan.first()["u"] == [0.6, 0.8]
+    assert "/ SQRT" not in plan._jdf.queryExecution().optimizedPlan().toString()
