@@ -5,9 +5,10 @@ import tracemalloc
 import numpy as np
 import pytest
 
+from vexil.adapters import DocumentStore
 from vexil.functions.kernels import normalized
 from vexil.indexes import RefineIndex, make_index
-from vexil.operators import search, sparse
+from vexil.operators import fusion, hnsw, search, sparse
 from vexil.types import Metric
 
 TERMS = "array<struct<term:bigint,weight:double>>"
@@ -136,3 +137,44 @@ def test_a_norm_is_computed_once(spark):
     plan = df.select(normalized(df.v).alias("u"))
     assert plan.first()["u"] == [0.6, 0.8]
     assert "/ SQRT" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ideal_gain_by_grades(spark):
+    """Against plain Python: ties, more than k of a grade, fewer than k labels, no hit."""
+    rng = np.random.default_rng(1)
+    labels = [(q, i, float(g)) for q in range(6) for i, g in enumerate(rng.integers(0, 4, size=[3, 40, 12, 7, 25, 9][q])) if g or i == 0] + [(q, 99, 2.0) for q in range(6)]
+    hits = [(q, r + 1, int(i)) for q in range(5) for r, i in enumerate(rng.permutation(30)[:15])]
+    score = fusion.score(spark.createDataFrame(hits, "qid long, rank int, id long"), spark.createDataFrame(labels, "qid long, id long, grade double"), 10)
+    grade = {(q, i): g for q, i, g in labels}
+    want = {}
+    for q in range(6):
+        ideal = sum(g / np.log2(r + 2) for r, g in enumerate(sorted((g for (p, _), g in grade.items() if p == q and g > 0), reverse=True)[:10]))
+        want[q] = sum(grade.get((q, i), 0.0) / np.log2(r + 1) for p, r, i in hits if p == q and r <= 10) / ideal
+    got = {r["qid"]: r["value"] for r in score.collect()}
+    assert got.keys() == want.keys() and np.allclose([got[q] for q in range(6)], [want[q] for q in range(6)])
+    text = score._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in text  # no label is ranked
+
+
+def test_graphs_of_bounded_size(spark, monkeypatch):
+    """More parts than named when those had too many rows; several blocks of queries search the same graphs."""
+    x = np.random.default_rng(2).normal(size=(240, 6))
+    rows = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "slot long, id long, vector array<double>")
+    asked = rows.where("id < 20").selectExpr("id as qid", "vector")
+    monkeypatch.setattr(hnsw, "GRAPH_ROWS", 30)
+    monkeypatch.setattr(search, "BLOCK", 8)
+    found = hnsw.hnsw_search(rows, asked, 5, parts=2)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(xxhash64(slot#" in text and ", 8)" in text and text.count("FlatMapGroupsInArrow") == 1
+    got = {(r["qid"], r["rank"]): r["id"] for r in found.collect()}
+    for q in range(20):
+        assert [got[q, r + 1] for r in range(5)] == np.argsort(((x - x[q]) ** 2).sum(axis=1))[:5].tolist()
+
+
+def test_documents_are_counted_where_they_are(spark):
+    store = DocumentStore(spark, 2, string_ids=True)
+    assert store.count() == 0
+    store.add(spark.createDataFrame([(f"d{i}", "t", ["en", "fr"][i % 2], [1.0, float(i)]) for i in range(9)], "id string, text string, lang string, vector array<double>"))
+    for where in (None, {"lang": "fr"}, {"filters": [{"key": "lang", "operator": "text_match", "value": "e"}]}):
+        assert store.count(where=where) == len(store.get(where=where))
+    assert store.count(ids=["d1", "d2", "none"], where={"lang": "en"}) == 1

@@ -245,6 +245,10 @@ class DocumentStore:
         rows = sorted(rows, key=lambda r: place.get(r[key], 0))
         return [{"id": r[key], "text": r["text"], "metadata": json.loads(r["meta_json"])} for r in rows]
 
+    def count(self, ids: list | None = None, where=None, doc_ids: list[str] | None = None) -> int:
+        """How many documents ``delete`` would take; none of them comes to the driver."""
+        return 0 if self.index is None else self._selected(ids, where, doc_ids).count()
+
     def delete(self, ids: list | None = None, where=None, doc_ids: list[str] | None = None) -> int:
         """By ids, by source documents (metadata ``ref_doc_id``), by filter, or by several of them; all rows without any."""
         self._bm25 = None
