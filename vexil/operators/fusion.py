@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vexil.operators.sparse import few
+
 
 def _limited(scored: DataFrame, limit: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
@@ -78,7 +80,7 @@ def score(hits: DataFrame, labels: DataFrame, k: int, metric: str = "ndcg") -> D
     """(qid, value) for each labelled query: recall, ndcg or mrr at k; an id's first rank counts."""
     good = labels.where("grade > 0")
     first = hits.where((F.col("rank") <= k) & (F.col("id") >= 0)).groupBy("qid", "id").agg(F.min("rank").alias("rank"))
-    met = first.join(good, ["qid", "id"])
+    met = few(first).join(good, ["qid", "id"])  # labels may be many more than hits
     base = good.select("qid").distinct()
     if metric == "recall":
         got = met.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
@@ -87,7 +89,12 @@ def score(hits: DataFrame, labels: DataFrame, k: int, metric: str = "ndcg") -> D
     if metric == "mrr":
         got = met.groupBy("qid").agg((F.lit(1.0) / F.min("rank")).alias("value"))
     elif metric == "ndcg":
-        best = good.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("grade").desc(), "id"))).where(F.col("rank") <= k)
+        # the best k grades by how often each occurs: labels of equal grade are alike, and none is sorted
+        grades = good.groupBy("qid", "grade").agg(F.count(F.lit(1)).alias("n"))
+        above = Window.partitionBy("qid").orderBy(F.col("grade").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        first = grades.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).where(F.col("above") < k)
+        ranks = F.sequence(F.col("above") + 1, F.least(F.col("above") + F.col("n"), F.lit(k).cast("long")))
+        best = first.select("qid", "grade", F.explode(ranks).alias("rank"))
         dcg = lambda df, name: df.groupBy("qid").agg(F.sum(F.col("grade") / F.log2(F.col("rank") + 1.0)).alias(name))
         got = dcg(met, "dcg").join(dcg(best, "ideal"), "qid").select("qid", (F.col("dcg") / F.col("ideal")).alias("value"))
     else:
