@@ -178,3 +178,17 @@ def test_documents_are_counted_where_they_are(spark):
     for where in (None, {"lang": "fr"}, {"filters": [{"key": "lang", "operator": "text_match", "value": "e"}]}):
         assert store.count(where=where) == len(store.get(where=where))
     assert store.count(ids=["d1", "d2", "none"], where={"lang": "en"}) == 1
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_distances_written_out(spark, metric):
+    """Vectors of one size are measured by compiled code, those of several sizes by lambdas; both as the other exact search."""
+    x = np.random.default_rng(6).normal(size=(60, 5))
+    rows = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "slot long, id long, vector array<double>")
+    asked = rows.where("id % 9 = 0").selectExpr("id as qid", "vector")
+    both = [sorted((r["qid"], r["rank"], r["id"], round(r["distance"], 9)) for r in f(rows, asked, 4, metric).collect()) for f in (search.flat_search, search.flat_search_sql)]
+    assert both[0] == both[1]
+    lambdas = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0].count("zip_with")
+    assert lambdas(search.flat_search_sql(rows, asked, 4, metric)) == 0
+    odd = rows.unionByName(spark.createDataFrame([(99, 99, [1.0])], rows.schema))
+    assert lambdas(search.flat_search_sql(odd, asked, 4, metric)) > 0
